@@ -93,3 +93,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).union(current.select(F.col("u").alias("node"), F.col("v").alias("root")))
     alone = base.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(alone).groupBy("node").agg(F.min("root").alias("root"))
+
+
+#: Rows of the smaller side up to which a join sends it to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join with ``small`` broadcast if its counted rows are within ``BROADCAST_ROWS``
+    (a few short columns each), else left to Spark's shuffled joins."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
+def row_key(*columns: str):
+    """Columns ``k1, k2`` that identify a row's content: the id (0 for null) and a hash
+    of all the named columns; equal rows share them."""
+    return [F.coalesce(F.col(columns[0]).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(*[F.col(c) for c in columns]).alias("k2")]
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose ``row_key`` is among ``keys``."""
+    k1, k2 = row_key(*columns)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1, k2)
+    return held.join(keys.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("row.*")

@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module that holds the function of that name (and SQL, if any).
 MODULES = {
     "op1_simhash_near_dedup": "simhash",
+    "op2_quality_classifier": "quality",
     "op5_source_mixing": "mixing",
     "op6_line_dedup": "line_dedup",
 }
