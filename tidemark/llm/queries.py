@@ -10,6 +10,8 @@ MODULES = {
     "op2_quality_classifier": "quality",
     "op5_source_mixing": "mixing",
     "op6_line_dedup": "line_dedup",
+    "op9_toxicity": "toxicity",
+    "op10_language_id": "language_id",
 }
 
 
