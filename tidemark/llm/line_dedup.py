@@ -267,6 +267,31 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_documents:
     return rows.join(per, "row").select("doc_id", "n_lines", "n_dropped", "kept")
 
 
+def deduplicated_documents(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """The documents with their frequent lines dropped from ``text``; the other columns
+    stay, but ``n_chars``, if there, becomes the length of the new text.  A null text
+    becomes empty."""
+    made = LineIndex.build(docs, min_documents)
+    frequent = made.filters()
+    if frequent is None:
+        raise NotImplementedError("more frequent lines than filters may hold")
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def frequent_of(keys: list[bytes]) -> set[bytes]:
+        filters, wrong = sent.value
+        digests = [key_digest(k) for k in keys]
+        hit = probe(filters, digests)
+        return {k for k, d, h in zip(keys, digests, hit) if h and d not in wrong}
+
+    other = [f for f in docs.schema.fields if f.name != "text"]
+    row = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in other]).alias("row"), F.col("text").cast("string").alias("text"))
+    kept = row.mapInArrow(_rewrite(["row", "text"], 1, frequent_of), f"row {row.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
+    value = {f.name: F.col("row")[f.name] for f in other} | {"text": F.col("kept")}
+    if "n_chars" in value:
+        value["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[value[c].alias(c) for c in docs.columns])
+
+
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines found in 10 or more of the whole ``documents`` are dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

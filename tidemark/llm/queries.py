@@ -9,8 +9,10 @@ MODULES = {
     "op1_simhash_near_dedup": "simhash",
     "op2_quality_classifier": "quality",
     "op3_document_fingerprints": "merkle",
+    "op4_benchmark_decontamination": "decontamination",
     "op5_source_mixing": "mixing",
     "op6_line_dedup": "line_dedup",
+    "op7_substring_dedup": "substring_dedup",
     "op8_secret_scan": "secret_scan",
     "op9_toxicity": "toxicity",
     "op10_language_id": "language_id",

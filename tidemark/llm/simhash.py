@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, connected_components, texts, write_table
@@ -302,6 +302,21 @@ def grouped(rows: DataFrame, distance: int) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The documents with one kept of each group of near-copies, all columns as they
+    are: the one of the smallest doc_id (null last), then of the smallest text hash.
+    Rows equal in id and text are one document and one row of them stays."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    rows, _ = write_table(fingerprints(named, shingle), "fingerprints")
+    found = grouped(rows, distance)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(first)
+    keys = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("k1"), F.col("first.text_hash").alias("k2"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.xxhash64("text").alias("k2"))
+    once = Window.partitionBy("k1", "k2").orderBy("k1", "k2")
+    return held.join(keys.distinct(), ["k1", "k2"], "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of the whole ``documents`` table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
