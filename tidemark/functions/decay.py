@@ -20,9 +20,14 @@ def duration_seconds(text: str) -> float:
     return float(found[1]) * SECONDS[found[2]]
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds of a time, with or without a time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def age_seconds(ts: Column, now: Column, clamp: bool) -> Column:
     """Seconds from ``ts`` to ``now``; negative for the future unless clamped."""
-    age = (F.unix_micros(now) - F.unix_micros(ts)) / 1e6
+    age = (micros(now) - micros(ts)) / 1e6
     return F.greatest(age, F.lit(0.0)) if clamp else age
 
 

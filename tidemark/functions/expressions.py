@@ -196,7 +196,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[str, list[Typed]], Typed]]] = {
 
 
 def _divide(a: Column, b: Column) -> Column:
-    return F.when(b == 0, F.lit(0.0)).otherwise(a / F.nullif(b, F.lit(0.0)))
+    return F.when(a.isNotNull() & (b == 0), F.lit(0.0)).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 
 def build(node: Node, env: dict[str, Typed]) -> Typed:

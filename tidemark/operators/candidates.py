@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.decay import micros
+
 #: Items of one source and candidates of one request, at most.
 SOURCE_CAP, CANDIDATE_CAP = 200, 2000
 
@@ -46,7 +48,7 @@ def for_requests(requests: DataFrame, ranked: DataFrame, seeds: DataFrame, cap:
 
 def fresh(items: DataFrame, created: str) -> DataFrame:
     """``item, value`` with the creation time in seconds as value."""
-    return items.where(F.col(created).isNotNull()).select("item", (F.unix_micros(created) / 1e6).alias("value"))
+    return items.where(F.col(created).isNotNull()).select("item", (micros(F.col(created)) / 1e6).alias("value"))
 
 
 def union(sources: list[DataFrame], cap: int = CANDIDATE_CAP) -> DataFrame:

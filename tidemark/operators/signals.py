@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.decay import age_seconds
+from tidemark.functions.decay import age_seconds, micros
 from tidemark.functions.geo import haversine_km
 from tidemark.functions.normalise import combine
 
@@ -57,7 +57,7 @@ def event_counts(events: DataFrame, now: Column, types: list[str] | None = None,
     """``item, n, people`` of the events since ``now - window``; later ones count too."""
     rows = events if types is None else events.where(F.col("type").isin(types))
     if window_seconds is not None:
-        rows = rows.where(F.unix_micros("ts") >= F.unix_micros(now) - F.lit(int(window_seconds * 1e6)))
+        rows = rows.where(micros(F.col("ts")) >= micros(now) - F.lit(int(window_seconds * 1e6)))
     return rows.groupBy(F.col("target").alias("item")).agg(F.count("*").alias("n"), F.countDistinct("user").alias("people"))
 
 
@@ -114,9 +114,9 @@ def next_items(events: DataFrame, gap_seconds: float) -> DataFrame:
     ending at a pause of more than ``gap_seconds``."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("user").orderBy("ts", "seq")
+    order = Window.partitionBy("user").orderBy("ts", "seq", "target")
     steps = events.select("user", "target", "ts", "seq", F.lead("target").over(order).alias("following"), F.lead("ts").over(order).alias("then"))
-    inside = (F.unix_micros("then") - F.unix_micros("ts")) / 1e6 <= gap_seconds
+    inside = (micros(F.col("then")) - micros(F.col("ts"))) / 1e6 <= gap_seconds
     return steps.where(inside & (F.col("target") != F.col("following"))).groupBy(F.col("target").alias("item"), "following").agg(F.count("*").alias("n"))
 
 
@@ -124,7 +124,7 @@ def recurrence(events: DataFrame, min_users: int = 1) -> DataFrame:
     """``item, usual_gap, users``: median seconds between a user's events on an item."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("user", "target").orderBy("ts", "seq")
-    gaps = events.withColumn("gap", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))) / 1e6).where("gap > 0")
+    order = Window.partitionBy("user", "target").orderBy("ts", "seq", "target")
+    gaps = events.withColumn("gap", (micros(F.col("ts")) - micros(F.lag("ts").over(order))) / 1e6).where("gap > 0")
     per = gaps.groupBy(F.col("target").alias("item")).agg(F.percentile("gap", 0.5).alias("usual_gap"), F.countDistinct("user").alias("users"))
     return per.where(F.col("users") >= min_users)

@@ -40,7 +40,7 @@ def interaction_scan(spark, d):
     return tables.interactions(events(spark, d), ["return"]).select("seq", F.col("user").alias("user_id"), "target")
 
 
-@query("upsert_dedupe", f"""{SQL_EVENTS} SELECT usr AS user_id, type, target, ts, min(seq) AS seq, arg_max(value, seq) AS value FROM ev GROUP BY usr, type, target, ts""")
+@query("upsert_dedupe", f"""{SQL_EVENTS} SELECT usr AS user_id, type, target, ts, min(seq) AS seq, max({{'s': seq, 'v': value}}).v AS value FROM ev GROUP BY usr, type, target, ts""")
 def upsert_dedupe(spark, d):
     return tables.upsert_interactions(events(spark, d).select("user", "type", "target", "ts", "value", "seq"), ["user", "type", "target", "ts"]).withColumnRenamed("user", "user_id")
 

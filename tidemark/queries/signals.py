@@ -45,7 +45,7 @@ def profile_size(spark, d):
 
 
 @query("recent_items", f"""{SQL_EVENTS}, l AS (SELECT usr, target AS item, max(seq) AS seq FROM ev WHERE type = 'purchase' GROUP BY usr, target),
-r AS (SELECT usr AS user_id, item, row_number() OVER (PARTITION BY usr ORDER BY seq DESC)::INTEGER AS pos FROM l) SELECT * FROM r WHERE pos <= 50""")
+r AS (SELECT usr AS user_id, item, row_number() OVER (PARTITION BY usr ORDER BY seq DESC, item)::INTEGER AS pos FROM l) SELECT * FROM r WHERE pos <= 50""")
 def recent_items(spark, d):
     return usr.recent_items(events(spark, d), ["purchase"]).withColumnRenamed("user", "user_id")
 
@@ -71,12 +71,12 @@ SQL_HELD = "held AS (SELECT n.request_id, p.item, sum(n.sim * p.w) AS weighted,
 
 @query("src_user_neighbors", f"""{SQL_EVENTS}, {SQL_PROFILE}, {SQL_DAMPED}, {SQL_NEAR}, {SQL_HELD},
 own AS (SELECT DISTINCT usr AS request_id, item FROM prof), r AS (SELECT request_id, item, round(weighted, 9) AS value, row_number() OVER (PARTITION BY request_id ORDER BY round(weighted, 9) DESC, item)::INTEGER AS src_rank FROM held ANTI JOIN own USING (request_id, item) WHERE weighted > 0)
-SELECT request_id, item, round(value, 6) AS value, src_rank FROM r WHERE src_rank <= 200""")
+SELECT request_id, item, round(value, 3) AS value, src_rank FROM r WHERE src_rank <= 200""")
 def src_user_neighbors(spark, d):
     near, damped = near_users(spark, d)
     held = usr.neighbour_items(near, damped).select("request_id", "item", F.round("weighted", 9).alias("value"))
     own = damped.select(F.col("user").alias("request_id"), "item")
-    return cand.top(held, own).select("request_id", "item", F.round("value", 6).alias("value"), "src_rank")
+    return cand.top(held, own).select("request_id", "item", F.round("value", 3).alias("value"), "src_rank")
 
 
 @query("sig_user_neighbors", f"""{SQL_EVENTS}, {SQL_PROFILE}, {SQL_DAMPED}, {SQL_NEAR}, {SQL_HELD}, t AS (SELECT request_id, sum(sim) AS all_sim FROM near GROUP BY request_id)
@@ -89,21 +89,21 @@ def sig_user_neighbors(spark, d):
 
 
 SQL_CO = f"""{SQL_EVENTS}, {SQL_SEEDS}, mem AS (SELECT DISTINCT order_id AS g, target AS item FROM ev), n AS (SELECT item, count(*) AS n FROM mem GROUP BY item), g AS (SELECT count(DISTINCT g) AS groups FROM mem),
-si AS (SELECT DISTINCT item FROM seeds), b AS (SELECT a.item AS seed_item, m.item, count(*) AS both FROM mem a JOIN si ON si.item = a.item JOIN mem m ON m.g = a.g AND m.item <> a.item GROUP BY a.item, m.item),
-co AS (SELECT b.seed_item, b.item, both, x.n AS n_seed, y.n AS n_item, groups FROM b JOIN n x ON x.item = b.seed_item JOIN n y ON y.item = b.item, g)"""
+si AS (SELECT DISTINCT item FROM seeds), b AS (SELECT a.item AS seed_item, m.item, count(*) AS sup FROM mem a JOIN si ON si.item = a.item JOIN mem m ON m.g = a.g AND m.item <> a.item GROUP BY a.item, m.item),
+co AS (SELECT b.seed_item, b.item, sup, x.n AS n_seed, y.n AS n_item, groups FROM b JOIN n x ON x.item = b.seed_item JOIN n y ON y.item = b.item, g)"""
 
 
 def support(spark, d):
     return co.support(co.memberships(events(spark, d), "order_id"), seeds(spark, d))
 
 
-@query("pair_support", f"{SQL_CO} SELECT seed_item, item, both, n_seed, n_item, groups FROM co")
+@query("pair_support", f"{SQL_CO} SELECT seed_item, item, sup AS support, n_seed, n_item, groups FROM co")
 def pair_support(spark, d):
-    return support(spark, d)
+    return support(spark, d).withColumnRenamed("both", "support")
 
 
 def co_signal(how: str, formula: str):
-    sql = f"""{SQL_CO}, z AS (SELECT request_id, count(*) AS k FROM seeds GROUP BY request_id), pv AS (SELECT s.request_id, co.item, CASE WHEN both >= 1 THEN {formula} ELSE 0 END AS v FROM seeds s JOIN co ON co.seed_item = s.item)
+    sql = f"""{SQL_CO}, z AS (SELECT request_id, count(*) AS k FROM seeds GROUP BY request_id), pv AS (SELECT s.request_id, co.item, CASE WHEN sup >= 1 THEN {formula} ELSE 0 END AS v FROM seeds s JOIN co ON co.seed_item = s.item)
     SELECT r.request_id, p.p_partkey AS item, round(coalesce(0.5 * sum(pv.v) / z.k + 0.5 * max(pv.v), 0), 6) AS raw FROM req r CROSS JOIN part p JOIN z USING (request_id) LEFT JOIN pv ON pv.request_id = r.request_id AND pv.item = p.p_partkey GROUP BY r.request_id, p.p_partkey, z.k"""
 
     @query(f"sig_co_occurrence_{how}", sql)
@@ -114,12 +114,12 @@ def co_signal(how: str, formula: str):
     return run
 
 
-co_signal("lift", "both * groups::DOUBLE / (n_seed * n_item)")
-co_signal("count", "both::DOUBLE")
-co_signal("jaccard", "both::DOUBLE / (n_seed + n_item - both)")
+co_signal("lift", "sup * groups::DOUBLE / (n_seed * n_item)")
+co_signal("count", "sup::DOUBLE")
+co_signal("jaccard", "sup::DOUBLE / (n_seed + n_item - sup)")
 
 
-@query("src_co_occurrence", f"""{SQL_CO}, m AS (SELECT s.request_id, co.item, round(max(both * groups::DOUBLE / (n_seed * n_item)), 9) AS value FROM seeds s JOIN co ON co.seed_item = s.item GROUP BY s.request_id, co.item),
+@query("src_co_occurrence", f"""{SQL_CO}, m AS (SELECT s.request_id, co.item, round(max(sup * groups::DOUBLE / (n_seed * n_item)), 9) AS value FROM seeds s JOIN co ON co.seed_item = s.item GROUP BY s.request_id, co.item),
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY value DESC, item)::INTEGER AS src_rank FROM m ANTI JOIN seeds USING (request_id, item) WHERE value > 0) SELECT request_id, item, round(value, 6) AS value, src_rank FROM r WHERE src_rank <= 200""")
 def src_co_occurrence(spark, d):
     pairs = co.seed_values(seeds(spark, d), support(spark, d))
@@ -146,8 +146,8 @@ def src_all(spark, d):
 @query("src_union", f"""{SQL_EVENTS}, {SQL_ITEMS}, {SQL_SEEDS}, c AS (SELECT target AS item, count(*)::DOUBLE AS value FROM ev GROUP BY target),
 a AS (SELECT request_id, item, 0 AS src_pos, row_number() OVER (PARTITION BY request_id ORDER BY value DESC, item) AS src_rank FROM req CROSS JOIN c ANTI JOIN seeds USING (request_id, item)),
 b AS (SELECT request_id, item, 1 AS src_pos, row_number() OVER (PARTITION BY request_id ORDER BY created DESC, item) AS src_rank FROM req CROSS JOIN items ANTI JOIN seeds USING (request_id, item)),
-u AS (SELECT request_id, item, min(src_pos * 1000 + src_rank) AS at FROM (SELECT * FROM a WHERE src_rank <= 200 UNION ALL SELECT * FROM b WHERE src_rank <= 200) GROUP BY request_id, item)
-SELECT request_id, item, row_number() OVER (PARTITION BY request_id ORDER BY at)::INTEGER AS cand_pos FROM u""")
+u AS (SELECT request_id, item, min(src_pos * 1000 + src_rank) AS place FROM (SELECT * FROM a WHERE src_rank <= 200 UNION ALL SELECT * FROM b WHERE src_rank <= 200) GROUP BY request_id, item)
+SELECT request_id, item, row_number() OVER (PARTITION BY request_id ORDER BY place)::INTEGER AS cand_pos FROM u""")
 def src_union(spark, d):
     one = cand.for_requests(requests(spark, d), cand.popularity(events(spark, d), items(spark, d)), seeds(spark, d))
     two = cand.for_requests(requests(spark, d), cand.fresh(items(spark, d), "created"), seeds(spark, d))
@@ -241,13 +241,13 @@ def own_history(spark, d):
     return profile(spark, d).select(F.col("user").alias("request_id"), "item", F.round(F.col("w") / F.max("w").over(Window.partitionBy("user")), 6).alias("raw"))
 
 
-@query("sequence_next", f"""{SQL_EVENTS}, s AS (SELECT usr, target, ts, lead(target) OVER w AS following, lead(ts) OVER w AS then_ts FROM ev WINDOW w AS (PARTITION BY usr ORDER BY ts, seq))
+@query("sequence_next", f"""{SQL_EVENTS}, s AS (SELECT usr, target, ts, lead(target) OVER w AS following, lead(ts) OVER w AS then_ts FROM ev WINDOW w AS (PARTITION BY usr ORDER BY ts, seq, target))
 SELECT target AS item, following, count(*)::BIGINT AS n FROM s WHERE target <> following AND (epoch_us(then_ts) - epoch_us(ts)) / 1e6 <= 30 * 86400.0 GROUP BY target, following""")
 def sequence_next(spark, d):
     return sig.next_items(events(spark, d), 30 * DAY)
 
 
-@query("recurrence", f"""{SQL_EVENTS}, g AS (SELECT usr, target, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY usr, target ORDER BY ts, seq))) / 1e6 AS gap FROM ev)
+@query("recurrence", f"""{SQL_EVENTS}, g AS (SELECT usr, target, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY usr, target ORDER BY ts, seq, target))) / 1e6 AS gap FROM ev)
 SELECT target AS item, round(quantile_cont(gap, 0.5), 6) AS usual_gap, count(DISTINCT usr)::BIGINT AS users FROM g WHERE gap > 0 GROUP BY target""")
 def recurrence(spark, d):
     return sig.recurrence(events(spark, d)).select("item", F.round("usual_gap", 6).alias("usual_gap"), "users")

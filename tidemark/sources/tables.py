@@ -46,10 +46,10 @@ def upsert_entities(old: DataFrame, new: DataFrame, keys: list[str], order: str)
 
 def upsert_interactions(table: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key: the last value at the first arrival's place.  One shuffle,
-    combined map-side."""
+    combined map-side; arrivals of equal ``seq`` go by their other columns."""
     other = [c for c in table.columns if c not in keys and c != "seq"]
-    picked = [F.max_by(F.struct(c), "seq")[c].alias(c) for c in other]
-    return table.groupBy(*keys).agg(F.min("seq").alias("seq"), *picked)
+    last = table.groupBy(*keys).agg(F.min("seq").alias("first_seq"), F.max(F.struct("seq", *other)).alias("last"))
+    return last.select(*keys, F.col("first_seq").alias("seq"), *[F.col("last")[c].alias(c) for c in other])
 
 
 def save_model(model: DataFrame, root: str, name: str) -> int:
