@@ -271,10 +271,14 @@ def deduplicated_documents(docs: DataFrame, min_documents: int = MIN_DOCUMENTS)
     """The documents with their frequent lines dropped from ``text``; the other columns
     stay, but ``n_chars``, if there, becomes the length of the new text.  A null text
     becomes empty."""
-    made = LineIndex.build(docs, min_documents)
-    frequent = made.filters()
-    if frequent is None:
-        raise NotImplementedError("more frequent lines than filters may hold")
+    index = LineIndex.build(docs, min_documents)
+    frequent = index.filters()
+    if frequent is None:  # the join path, on numbered rows
+        rows, _ = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "line-documents")
+        kept = dedup_lines(rows.select(F.col("__row").alias("doc_id"), "text"), index).select(F.col("doc_id").alias("__row"), "kept")
+        value = {"text": F.col("kept"), "n_chars": F.length("kept")}
+        both = rows.join(kept, "__row")
+        return both.select(*[value[c].cast(docs.schema[c].dataType).alias(c) if c in value else F.col(f"`{c}`") for c in docs.columns])
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def frequent_of(keys: list[bytes]) -> set[bytes]:
