@@ -157,12 +157,13 @@ def recommend_end_to_end(spark, d):
     in the seed, scored by co-occurrence, popularity and content, the best twenty."""
     from tidemark.functions import similarity as sim
     from tidemark.queries.binding import scales
+    from tidemark.sources.checkpoints import cut
 
     catalogue, wanted = items(spark, d), seeds(spark, d)
-    pairs = co.seed_values(wanted, support(spark, d))
+    pairs = cut(co.seed_values(wanted, support(spark, d)))
     best = pairs.groupBy("request_id", "item").agg(F.max("value").alias("value"))
     source = cand.top(best.withColumn("value", F.round("value", 9)), wanted)
-    chosen = con.in_seed(cand.union([source]), wanted, keep=False)
+    chosen = cut(con.in_seed(cand.union([source]), wanted, keep=False))
     counts = sig.event_counts(events(spark, d), now(), ["purchase"], 1000 * DAY)
     ranged = catalogue.crossJoin(F.broadcast(scales(catalogue, ["price"])))
     x = ranged.select(*[F.col(c).alias("s_" + c) for c in ("item", "ptype", "price")]).join(F.broadcast(wanted.select("request_id", "seed_pos", F.col("item").alias("s_item"))), "s_item")
