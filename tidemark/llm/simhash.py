@@ -7,11 +7,16 @@ part its own threshold ``t_i`` (``-1`` skips the part) so that the thresholds su
 least.  Two fingerprints within ``distance`` bits then lie within ``t_i`` bits on some
 part, hence share a signature: the part's value with ``t_i`` of its bits masked.
 Signature groups are probed and every candidate is verified on all 64 bits.
+
+``one_of_each`` asks for more: all texts at a Jaccard similarity of 0.8 on 5-word
+shingles, most of which are further apart than any radius the signatures can afford.
+Its candidates are the classes of near fingerprints and the groups of equal MinHash
+bands, and each is verified by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -21,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, connected_components, texts, write_table
+from tidemark.llm.common import chunks, connected_components, sized_join, texts, write_table
+from tidemark.llm.substring_dedup import _ODD, GROUP_BLOCK, _mix, _verify, tune_bands
 
 BITS = 64
 #: Shingles hashed at a time, so that one very long text stays bounded in memory.
@@ -32,26 +38,37 @@ HOT_SIGNATURE = 2048
 LINKS_UP_TO = 64
 #: Numbers of parts that the plan chooses from.
 PARTS = (2, 3, 4)
+#: Near-copies for ``one_of_each``: words of a shingle and least Jaccard similarity.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: Shingles of one text that all MinHash draws see at a time.
+DRAW_BLOCK = 1 << 15
 
 
-def simhash64(text: bytes, shingle: int) -> int:
-    """SimHash of one text: majority of the bits of XXH64 (seed 42) over its word
-    shingles, repeats included; 0 if it has no word."""
-    words = text.lower().split()
-    if not words:
-        return 0
+def _digests(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each word shingle, repeats included, as 8 bytes; in blocks."""
     count = max(1, len(words) - shingle + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
     join, digest = b" ".join, xxhash.xxh64_digest
     for start in range(0, count, SHINGLE_BLOCK):
         part = words[start : min(count, start + SHINGLE_BLOCK) + shingle - 1]
         grams = map(join, zip(*(part[k:] for k in range(shingle)))) if len(words) >= shingle else [join(words)]
-        raw = b"".join([digest(g, 42) for g in grams])
-        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8), axis=1)
-        ones += np.add.reduce(bits, axis=0, dtype=np.int64)
+        yield np.frombuffer(b"".join([digest(g, 42) for g in grams]), dtype=np.uint8).reshape(-1, 8)
+
+
+def _majority(blocks: Iterable[np.ndarray]) -> int:
+    ones, count = np.zeros(BITS, dtype=np.int64), 0
+    for raw in blocks:
+        ones += np.add.reduce(np.unpackbits(raw, axis=1), axis=0, dtype=np.int64)
+        count += len(raw)
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
+def simhash64(text: bytes, shingle: int) -> int:
+    """SimHash of one text: majority of the bits of XXH64 (seed 42) over its word
+    shingles, repeats included; 0 if it has no word."""
+    words = text.lower().split()
+    return _majority(_digests(words, shingle)) if words else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, text_hash, fp)``: the SimHash of every whole text as a signed long,
     and XXH64 of the text, which tells apart rows of one doc_id."""
@@ -302,15 +319,97 @@ def grouped(rows: DataFrame, distance: int) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+def _shingles(text: bytes, shingle: int) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """Digests of a text's shingles, the distinct ones as sorted 64-bit hashes, and a key
+    that texts of the same shingles share."""
+    words = text.lower().split()
+    raw = list(_digests(words, shingle)) if words else [np.zeros((0, 8), np.uint8)]
+    grams = np.unique(np.concatenate(raw).reshape(-1).view(">u8").astype(np.uint64))
+    return raw, grams, xxhash.xxh64_intdigest(grams.tobytes(), 42)
+
+
+def _longs(values: list) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), _longs(np.concatenate(arrays)))
+
+
+def sketches(docs: DataFrame, shingle: int, bands: int, per: int) -> DataFrame:
+    """``(doc_id, text_hash, fp, key, bands)``: besides the fingerprint a key that texts
+    of the same shingles share, and the shingles' MinHash bands."""
+    draws = np.random.default_rng(17).integers(0, 1 << 63, (2, bands * per, 1), dtype=np.uint64) | np.uint64(1)
+
+    def sketch(text: bytes) -> tuple[int, int, np.ndarray]:
+        raw, grams, key = _shingles(text, shingle)
+        low = np.full(bands * per, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for s in range(0, len(grams), DRAW_BLOCK):
+            np.minimum(low, ((grams[None, s : s + DRAW_BLOCK] * draws[0] + draws[1]) >> np.uint64(20)).min(axis=1), out=low)
+        keys = np.arange(bands, dtype=np.uint64)
+        for k in range(per):
+            keys = keys * np.uint64(_ODD) + low[k::per]
+        return _majority(raw) if len(grams) else 0, key, _mix(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 1):
+            fps, keys, band = zip(*map(sketch, texts(b.column(1))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _longs(fps), _longs(keys), _lists(band)], ["doc_id", "text_hash", "fp", "key", "bands"])
+
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, fp long, key long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """``(key, shingles)`` of the ``keys``, from one text of each."""
+    id_ = F.coalesce("doc_id", F.lit(0)).alias("k1")
+    spot = rows.select("key", id_, "text_hash").join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("k1", "text_hash")).alias("at")).select("at.k1", "at.text_hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 0):
+            _, grams, own = zip(*(_shingles(t, shingle) for t in texts(b.column(0))))
+            yield pa.RecordBatch.from_arrays([_longs(own), _lists(grams)], ["key", "shingles"])
+
+    found = sized_join(docs.select(id_, "text_hash", "text"), spot, ["k1", "text_hash"], "left_semi")
+    return found.select("text").mapInArrow(run, "key long, shingles array<long>").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, distance: int, similarity: float) -> DataFrame:
+    """``(src, dst)``: links between keys of ``rows``, the ``sketches`` of ``docs``, that
+    connect those of a Jaccard similarity of at least ``similarity``.
+
+    Candidates share a band or a class of fingerprints within ``distance`` bits.  Groups
+    of the same members are compared once; large ones go by pairs of blocks.
+    """
+    fps, _ = write_table(rows.select("fp").distinct(), "distinct")
+    classes = connected_components(hamming_links(fps, distance)).withColumnsRenamed({"node": "fp"})
+    near = rows.select("key", "fp").distinct().join(classes, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("band"), "key")
+    equal = rows.groupBy("key").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "key")
+    keyed, _ = write_table(near.union(equal).distinct(), "bands")
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("members"), F.min("key").alias("low"), F.max("key").alias("high")).where("n > 1")
+    once = sizes.groupBy("n", "members", "low", "high").agg(F.min("band").alias("band")).select("band", "n")
+    groups, _ = write_table(keyed.join(once, "band"), "band-groups")
+    shingles, _ = write_table(shingle_sets(docs, rows, groups.select("key").distinct(), shingle), "shingles")
+    blocks = F.ceil(F.col("n") / GROUP_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j.cast("int")).alias("x"), F.greatest(own, j.cast("int")).alias("y")))
+    spread = groups.select("band", "key", F.explode(pairs).alias("p")).select("band", "p.x", "p.y", "key")
+    full = spread.join(shingles, "key").select("band", "x", "y", "key", "shingles")
+    return full.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "key").mapInArrow(_verify(similarity), "src long, dst long").distinct()
+
+
+def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, distance: int = 3, similarity: float = SIMILARITY) -> DataFrame:
     """The documents with one kept of each group of near-copies, all columns as they
     are: the one of the smallest doc_id (null last), then of the smallest text hash.
-    Rows equal in id and text are one document and one row of them stays."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
-    rows, _ = write_table(fingerprints(named, shingle), "fingerprints")
-    found = grouped(rows, distance)
+    Rows equal in id and text are one document and one row of them stays.
+
+    Near-copies are chains of texts of a Jaccard similarity of at least ``similarity``
+    on their ``shingle``-word shingles (all words, if fewer); texts without a word are
+    near-copies of each other."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    rows, _ = write_table(sketches(named, shingle, *tune_bands(similarity)), "sketches")
+    roots = connected_components(similar_links(named, rows, shingle, distance, similarity)).withColumnsRenamed({"node": "key"})
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(first)
+    kept = rows.select("doc_id", "text_hash", "key").join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(first)
     keys = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("k1"), F.col("first.text_hash").alias("k2"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.xxhash64("text").alias("k2"))
     once = Window.partitionBy("k1", "k2").orderBy("k1", "k2")
