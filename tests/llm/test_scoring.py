@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import language_id as lid
 from tidemark.llm import quality as q
@@ -88,6 +89,36 @@ def test_quality_keeps_trusted_text_and_rejects_junk(spark):
     assert got[got.label == 0].keep.mean() < 0.25
 
 
+def test_threshold_is_the_quantile_of_unseen_trusted_text(spark):
+    """Texts of few words, which models of one half know as well as models of all: the
+    quantile of trusted perplexities is the threshold, and held-out scores hardly differ."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(400)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    got = q.classify(docs, labels).toPandas()
+    assert got.threshold.iloc[0] == pytest.approx(got.perplexity.quantile(q.QUANTILE), rel=0.08)
+    assert got.keep.mean() >= 0.98
+
+
+def test_held_out_text_is_scored_by_the_other_folds(spark):
+    texts = ["the cat sat"] * 3 + ["the dog ran to the cat", "a cat and a dog", "then the hat"]
+    trusted = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    alphabets = q._alphabets(trusted, ["en"])
+    fold = {r.text: r.f for r in trusted.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()}
+    assert len(set(fold.values())) == 2
+    want = []
+    for f in (0, 1):
+        others = trusted.where(F.col("text").isin([t for t in fold if fold[t] != f]))
+        own = trusted.where(F.col("text").isin([t for t in fold if fold[t] == f])).withColumn("doc_id", F.lit(1))
+        encoder = q.Encoder(alphabets)
+        want += [r.log_p for r in q.score(own, encoder, q.distributions(q.gram_counts(others, encoder))).collect()]
+    got = [r.log_p for r in q.held_out(trusted, alphabets, q.SHARD_CONTEXTS, 2).collect()]
+    assert sorted(got) == pytest.approx(sorted(want)) and len(got) == 6
+    assert q.held_out(trusted.limit(1), alphabets, q.SHARD_CONTEXTS, 2).count() == 0
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "good text here", "en", 1), (1, "good text here", "en", 1), (2, None, "en", 2), (3, "", None, 3), (None, "good text", None, 4), (4, "퟿￿ ok", "xx", 5)], "doc_id long, text string, lang string, keep int")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")

@@ -6,11 +6,12 @@ text; the smoothed distributions come from joins of those count tables on the co
 (hash-sharded), one order on the next lower one.  Documents are scored against shards
 of the resulting table, each of a bounded number of contexts; the partial sums of the
 shards add up to a document's perplexity, which is compared with a quantile of the
-trusted documents of its language.
+trusted documents of its language, each scored for that by models of the other folds.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ POOLED = "*"
 MIN_TRUSTED = 20
 #: A document is kept up to this quantile of its language's trusted perplexities ...
 QUANTILE = 0.995
-#: ... times this slack, as trusted documents are scored by a model that has seen them.
-SLACK = 1.25
+#: ... each under models that have not seen its text: trusted text is cut into so many
+#: folds, and a fold is scored by models of the others.
+FOLDS = 2
 #: Characters at the language's median that every document is padded with in effect, so
 #: that the chance of a few odd letters does not reject short documents.
 PRIOR_CHARS = 60
@@ -42,11 +44,15 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """``doc_id`` of what is labelled good and never poor."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+
+
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(lang, text)`` of documents labelled good and never labelled poor, with text."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    return sized_join(rows, good, "doc_id", "left_semi")
+    return sized_join(rows, trusted_ids(labels), "doc_id", "left_semi")
 
 
 def _alphabets(trusted: DataFrame, models: list[str]) -> dict[str, np.ndarray]:
@@ -147,9 +153,10 @@ def smoothed(words: np.ndarray, counts: np.ndarray, lower: np.ndarray, d: tuple[
     return p + np.minimum(cut, counts).sum() / total * lower
 
 
-def distributions(grams: DataFrame) -> DataFrame:
+def distributions(grams: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """``(model, length, context, p)``: the smoothed distribution of every context of 0
-    to 3 symbols that trusted text has, as 128 probabilities.
+    to 3 symbols that trusted text has, as 128 probabilities.  The tables it is read
+    from are added to ``paths``.
 
     Each order's counts are grouped by context (at most 128 rows each) and joined with
     the distributions of the contexts shorter by the first symbol.
@@ -183,7 +190,9 @@ def distributions(grams: DataFrame) -> DataFrame:
             suffix = (F.col("context") % (1 << SHIFT * (k - 2))).alias("suffix") if k > 2 else F.lit(0).cast("long").alias("suffix")
             rows = rows.select("model", "context", "seen", suffix).join(lower.select("model", F.col("context").alias("suffix"), F.col("p").alias("lower")), ["model", "suffix"])
         made = rows.select("model", "context", "seen", "lower").mapInArrow(smooth(k), "model string, context long, p array<float>")
-        lower, _ = write_table(made, f"kneser-ney-{k}")
+        lower, path = write_table(made, f"kneser-ney-{k}")
+        if paths is not None:
+            paths.append(path)
         levels.append(lower.select("model", F.lit(k - 1).alias("length"), "context", "p"))
     out = levels[0]
     for level in levels[1:]:
@@ -278,11 +287,38 @@ def score(docs: DataFrame, encoder: Encoder, table: DataFrame, shard_contexts: i
     return out.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "k1", "k2", "model")], F.sum("log_p").alias("log_p"), F.first("n").alias("n")).drop("row")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
+def held_out(trusted: DataFrame, alphabets: dict[str, np.ndarray], shard_contexts: int, folds: int = FOLDS) -> DataFrame:
+    """``model, log_p, n`` of the trusted documents under models of the other folds'
+    text.  Equal texts are in one fold; a language that only one fold has is scored there
+    by the pooled model, and a fold that has all trusted text is left out."""
+    spark, encoder, parts = trusted.sparkSession, Encoder(alphabets), []
+    fold = F.pmod(F.xxhash64("text"), F.lit(folds))
+    for f in range(folds):
+        grams, path = write_table(gram_counts(trusted.where(fold != f), encoder), "grams")
+        paths, models = [path], {r["model"] for r in grams.select("model").distinct().collect()}
+        if models:
+            seen = Encoder({m: a for m, a in alphabets.items() if m in models})
+            own = trusted.where(fold == f).select(F.lit(0).cast("long").alias("doc_id"), "lang", "text")
+            parts.append(write_table(score(own, seen, distributions(grams, paths), shard_contexts).select("model", "log_p", "n"), "held-out")[0])
+        for p in paths:
+            drop_table(spark, p)
+        # shuffle files go when the driver finds that nothing refers to them
+        gc.collect()
+        spark._jvm.System.gc()
+    if not parts:
+        return spark.createDataFrame([], "model string, log_p double, n long")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_contexts: int = SHARD_CONTEXTS, folds: int = FOLDS) -> DataFrame:
     """One row per document: ``doc_id, k1, k2, model, perplexity, threshold, keep``.
 
     ``perplexity`` is that of the characters and ``PRIOR_CHARS`` more at the median of
-    the model's trusted documents; ``threshold`` is the model's quantile times ``slack``.
+    the model's trusted documents; ``threshold`` is the quantile of the trusted documents'
+    perplexities, each under models that have not seen its text.
     A null or unknown language, or one with fewer than 20 trusted documents, is
     scored by the pooled model.  A null or empty text has null perplexity and is not
     kept; without any trusted text nothing can be judged and every text is kept.
@@ -297,21 +333,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     if not len(alphabets[POOLED]):
         rest = everything.where("text <> ''").select("doc_id", "k1", "k2", F.lit(None).cast("string").alias("model"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
         return rest.union(empty)
+    unseen = held_out(trusted, alphabets, shard_contexts, folds)
     encoder = Encoder(alphabets)
     grams, path = write_table(gram_counts(trusted, encoder), "grams")
     table = distributions(grams)
     scored, _ = write_table(score(docs, encoder, table, shard_contexts), "scores")
     drop_table(docs.sparkSession, path)
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    known = scored.join(good, "doc_id", "left_semi")
+    known = scored.join(trusted_ids(labels), "doc_id", "left_semi")
     middle = known.groupBy("model").agg(F.percentile_approx(-F.col("log_p") / F.col("n"), 0.5, 10000).alias("middle"))
     pooled = known.agg(F.percentile_approx(-F.col("log_p") / F.col("n"), 0.5, 10000).alias("pooled_middle"))
     rate = lambda mid: (-F.col("log_p") + F.lit(PRIOR_CHARS) * mid) / (F.col("n") + PRIOR_CHARS)
-    centred = scored.join(F.broadcast(middle), "model", "left").crossJoin(F.broadcast(pooled)).withColumn("rate", rate(F.coalesce("middle", "pooled_middle")))
-    limits = centred.join(good, "doc_id", "left_semi").groupBy("model").agg(F.percentile_approx("rate", quantile, 10000).alias("limit"), F.count("*").alias("size"))
+    centre = lambda rows: rows.join(F.broadcast(middle), "model", "left").crossJoin(F.broadcast(pooled)).withColumn("rate", rate(F.coalesce("middle", "pooled_middle")))
+    centred = centre(scored)
+    limits = centre(unseen).groupBy("model").agg(F.percentile_approx("rate", quantile, 10000).alias("limit"), F.count("*").alias("size"))
     overall = limits.agg(F.max("limit").alias("any_limit"))
     judged = centred.join(F.broadcast(limits.where(F.col("size") >= MIN_TRUSTED)), "model", "left").crossJoin(F.broadcast(overall))
-    limit = F.coalesce("limit", "any_limit") + F.lit(float(np.log(slack)))
+    limit = F.coalesce("limit", "any_limit")
     out = judged.select("doc_id", "k1", "k2", "model", F.exp("rate").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(F.col("rate") <= limit, F.lit(True)).alias("keep"))
     return out.union(empty)
 
