@@ -91,6 +91,14 @@ def test_weak_parts_need_their_complement(spark):
     assert [x.split(":")[0] for x in got[4].split(",")] == ["endpoint", "opaque"]
 
 
+def test_long_opaque_words_are_linked(spark):
+    rows = {n: "user: alice " + ("aB3dE5fG7hJ9kL1m" * 8000)[:n] for n in (15, 16, 64, 65, 88, 100_000)}
+    rows[3] = "user: alice " + "x" * 90 + "B" * 90 + "1"
+    got = {r.doc_id: r.spans for r in sec.scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got.pop(15) == ""
+    assert got == {n: f"account:0:11,opaque:12:{len(rows[n])}" for n in got}
+
+
 def test_linking_equals_all_pairs(spark):
     rng = np.random.default_rng(4)
     parts = [(int(r), int(k), int(s), int(s) + 5) for r in range(20) for k, s in zip(rng.integers(0, 6, 12), rng.integers(0, 3000, 12))]

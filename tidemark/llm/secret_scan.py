@@ -23,7 +23,7 @@ VALUE_LENGTH = 6
 # Weak kinds: an account name, an address, and a word of letters of both cases and digits.
 ACCOUNT = r"""(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 ENDPOINT = r"""https?://[^\s"'<>]{4,}|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])(?::[0-9]{2,5})?"""
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[a-z0-9+/_=-]{0,64}[A-Z])(?=[A-Z0-9+/_=-]{0,64}[a-z])[A-Za-z0-9+/_=-]{16,64}(?![A-Za-z0-9+/_=-])"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{16,}"
 KINDS = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("account", ACCOUNT), ("endpoint", ENDPOINT), ("opaque", OPAQUE)]
 BASE = 3
 #: Role of each kind: 0 secrets, 1 identifiers, 2 endpoints.
