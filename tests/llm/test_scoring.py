@@ -14,24 +14,34 @@ from tidemark.llm import toxicity as tox
 SMALL = "/root/testdata/sf0.01"
 
 
-def test_discounts_and_smoothing():
-    assert q.discounts(0, 1, 1, 1) == (0.5, 1.0, 1.5)
-    d = q.discounts(100, 40, 20, 10)
-    y = 100 / 180
-    assert d == pytest.approx((1 - 2 * y * 40 / 100, 2 - 3 * y * 20 / 40, 3 - 4 * y * 10 / 20))
-    lower = np.full(q.SYMBOLS, 1 / q.SYMBOLS)
-    p = q.smoothed(np.array([3, 9]), np.array([1, 5]), lower, d)
-    assert p.sum() == pytest.approx(1) and p[9] > p[3] > p[4] > 0
+def discounts(n1, n2, n3, n4):
+    if not (n1 and n2 and n3 and n4):
+        return 0.5, 1.0, 1.5
+    y = n1 / (n1 + 2 * n2)
+    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(found))
+
+
+def test_discounts(spark):
+    for counts in ((100, 40, 20, 10), (0, 1, 1, 1), (3, 9, 1, 1)):
+        rows = [(1, n) for n, times in enumerate(counts, 1) for _ in range(times)] + [(1, 7)]
+        got = q.discount_columns(spark.createDataFrame(rows, "mk long, n long")).first()
+        assert (got.d1, got.d2, got.d3) == pytest.approx(discounts(*counts))
+
+
+def units(text):
+    raw = text.encode("utf-16-le")
+    return [int.from_bytes(raw[k : k + 2], "little") for k in range(0, len(raw), 2)]
 
 
 def reference_model(texts):
-    """Modified Kneser-Ney over characters, by definition."""
+    """Modified Kneser-Ney over UTF-16 units, by definition."""
     order = q.ORDER
     from collections import Counter, defaultdict
 
     grams = Counter()
     for t in texts:
-        s = ["^"] * (order - 1) + list(t) + ["^"]
+        s = ["^"] * (order - 1) + units(t) + ["^"]
         grams.update(tuple(s[k : k + order]) for k in range(len(s) - order + 1))
     counts = {order: grams}
     for k in range(order - 1, 0, -1):
@@ -39,7 +49,7 @@ def reference_model(texts):
         for g in counts[k + 1]:
             before[g[1:]].add(g[0])
         counts[k] = {g: len(v) for g, v in before.items()}
-    cut = {k: q.discounts(*[sum(v == n for v in c.values()) for n in (1, 2, 3, 4)]) for k, c in counts.items()}
+    cut = {k: discounts(*[sum(v == n for v in c.values()) for n in (1, 2, 3, 4)]) for k, c in counts.items()}
     ctx = {k: defaultdict(list) for k in counts}
     for k, c in counts.items():
         for g, n in c.items():
@@ -58,25 +68,29 @@ def reference_model(texts):
         return (max(n - d(n), 0) if n else 0) / sum(ns) + sum(min(d(x), x) for x in ns) / sum(ns) * low
 
     def log_p(t):
-        s = ["^"] * (order - 1) + list(t) + ["^"]
+        s = ["^"] * (order - 1) + units(t) + ["^"]
         return sum(math.log(prob(s[k - order + 1 : k], s[k], order)) for k in range(order - 1, len(s)))
 
     return log_p
 
 
-@pytest.mark.parametrize("shard", [q.SHARD_CONTEXTS, 20])
-def test_log_probabilities_by_definition(spark, shard):
-    texts = ["the cat sat", "the dog ran to the cat", "a cat and a dog", "then"]
-    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*texts, "the hat", "zzz"])], "doc_id long, text string, lang string")
-    trusted = docs.where("doc_id < 4").select("lang", "text")
-    encoder = q.Encoder(q._alphabets(trusted, ["en"]))
-    table = q.distributions(q.gram_counts(trusted, encoder))
-    got = {r.doc_id: (r.log_p, r.n) for r in q.score(docs, encoder, table, shard).collect()}
-    known = set("".join(texts))
-    fold = lambda t: "".join(c if c in known else "?" for c in t)
-    log_p = reference_model(texts)
-    for k, t in enumerate([*texts, "the hat", "zzz"]):
-        assert got[k] == (pytest.approx(log_p(fold(t)), rel=1e-5), len(t) + 1)
+@pytest.mark.parametrize("most", [q.SENT_ENTRIES, 40, 0])
+@pytest.mark.parametrize("block", [q.BLOCK, 7])
+def test_log_probabilities_by_definition(spark, monkeypatch, most, block):
+    """All entries, some or none are sent to the workers; texts are cut anywhere."""
+    monkeypatch.setattr(q, "BLOCK", block)
+    texts = ["the cat sat", "the dog ran to the cat", "a cat and a dog", "then", "\u4f60\u597d\u4e16\u754c", "caf\u00e9 \U0001f600"]
+    every = [*texts, "the hat", "zzz", "zzz the zzz", "\u4e16\u597d", "x" * 50]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(every)], "doc_id long, text string, lang string")
+    trusted = docs.where(f"doc_id < {len(texts)}").select(F.lit(5).cast("long").alias("m"), F.pmod("doc_id", F.lit(2)).cast("int").alias("fold"), "text")
+    table = q.entries(q.variants(q.gram_counts(trusted, 2), 2))
+    for fold in (-1, 0, 1):
+        log_p = reference_model([t for k, t in enumerate(texts) if fold < 0 or k % 2 != fold])
+        for m in (5, q.POOLED_ID):
+            rows = docs.select("doc_id", "text", q.model_key(F.lit(m).cast("long"), fold).alias("mk"))
+            got = {r.doc_id: (r.log_p, r.n) for r in q.score(rows, table, most).collect()}
+            for k, t in enumerate(every):
+                assert got[k] == (pytest.approx(log_p(t), rel=1e-5), len(units(t)) + 1)
 
 
 def test_quality_keeps_trusted_text_and_rejects_junk(spark):
@@ -102,21 +116,17 @@ def test_threshold_is_the_quantile_of_unseen_trusted_text(spark):
     assert got.keep.mean() >= 0.98
 
 
-def test_held_out_text_is_scored_by_the_other_folds(spark):
-    texts = ["the cat sat"] * 3 + ["the dog ran to the cat", "a cat and a dog", "then the hat"]
-    trusted = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
-    alphabets = q._alphabets(trusted, ["en"])
-    fold = {r.text: r.f for r in trusted.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()}
-    assert len(set(fold.values())) == 2
-    want = []
-    for f in (0, 1):
-        others = trusted.where(F.col("text").isin([t for t in fold if fold[t] != f]))
-        own = trusted.where(F.col("text").isin([t for t in fold if fold[t] == f])).withColumn("doc_id", F.lit(1))
-        encoder = q.Encoder(alphabets)
-        want += [r.log_p for r in q.score(own, encoder, q.distributions(q.gram_counts(others, encoder))).collect()]
-    got = [r.log_p for r in q.held_out(trusted, alphabets, q.SHARD_CONTEXTS, 2).collect()]
-    assert sorted(got) == pytest.approx(sorted(want)) and len(got) == 6
-    assert q.held_out(trusted.limit(1), alphabets, q.SHARD_CONTEXTS, 2).count() == 0
+def test_held_out_text_is_scored_by_the_other_folds(spark, monkeypatch):
+    monkeypatch.setattr(q, "MIN_TRUSTED", 1)
+    texts = [("the cat sat", 0)] * 3 + [("the dog ran to the cat", 1), ("a cat and a dog", 1), ("then the hat", 0)]
+    trusted = spark.createDataFrame([("en", *t) for t in texts] + [("fr", "le chat", 0)], "lang string, text string, fold int")
+    known = q.languages(trusted, 2)
+    named = trusted.join(known, "lang").select("m", "fold", "text")
+    table = q.entries(q.variants(q.gram_counts(named, 2), 2))
+    want = sorted([("en", reference_model([x for x, g in texts if g != f])(t)) for t, f in texts] + [("*", reference_model([x for x, g in texts if g])("le chat"))])
+    got = sorted((r.model, r.log_p) for r in q.held_out(trusted, known, table, q.SENT_ENTRIES, 2, []).collect())
+    assert [m for m, _ in got] == [m for m, _ in want] and [p for _, p in got] == pytest.approx([p for _, p in want], rel=1e-5)
+    assert q.held_out(trusted.where("fold = 0"), known, table, q.SENT_ENTRIES, 2, []).count() == 0
 
 
 def test_quality_of_odd_rows(spark):

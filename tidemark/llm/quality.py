@@ -1,32 +1,41 @@
-"""Quality classifier: character 4-gram models with interpolated modified Kneser-Ney
-smoothing, one for each language, trained on trusted text.
-
-Counts, continuation counts and context totals are Spark aggregates over all trusted
-text; the smoothed distributions come from joins of those count tables on the context
-(hash-sharded), one order on the next lower one.  Documents are scored against shards
-of the resulting table, each of a bounded number of contexts; the partial sums of the
-shards add up to a document's perplexity, which is compared with a quantile of the
+"""Quality classifier: 4-gram models with interpolated modified Kneser-Ney smoothing, one
+for each language, trained on trusted text.
+
+A symbol is a UTF-16 code unit, so no alphabet is chosen, no two characters share a symbol
+and a 4-gram is one 64-bit number.  Counts, continuation counts and context totals are
+Spark aggregates over all trusted text, hash-sharded by model and context; each order is
+joined with the next lower one.  The result is two kinds of entries: the probability of
+every seen gram, and of every seen context the mass left to grams not seen after it.
+
+Documents are read once.  The entries, or if they are too many the most frequent 4-grams
+among them, are sent to the workers; what a worker cannot resolve leaves as counts of grams
+for a document, which are joined with the sharded entries and summed back, so a score does
+not depend on how much was sent.  A document's perplexity is compared with a quantile of the
 trusted documents of its language, each scored for that by models of the other folds.
 """
 
 from __future__ import annotations
 
-import gc
+import codecs
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, drop_table, keep_rows, row_key, sized_join, write_table
+from tidemark.llm.common import chunks, drop_table, keep_rows, row_key, sized_join, texts, write_table
 
 ORDER = 4
-#: Symbols of a model: 0 pads, 1 stands for rare characters, the rest are the most
-#: frequent code points of the language's trusted text.
-SYMBOLS, SHIFT = 128, 7
-#: Contexts of one shard: 65,536 distributions of 128 floats are 32 MB.
-SHARD_CONTEXTS = 65_536
+#: Bits of a symbol, the symbols that the lowest order is spread over, and the pad (a
+#: non-character; U+FFFF in a text counts as one).
+UNIT, SYMBOLS, PAD = 16, 1 << 16, b"\xff\xff"
+#: Entries sent to the workers, 12 bytes each and an index of at most 16.
+SENT_ENTRIES = 1_500_000
+#: Bytes of text taken from a batch at a time, UTF-16 units (or bytes of a long text) worked
+#: on at a time, and grams that a counting task holds.
+SLICE_BYTES, BLOCK, HELD_GRAMS = 256 << 10, 1 << 17, 1 << 20
 #: Model of documents without a language or whose language has little trusted text.
 POOLED = "*"
 MIN_TRUSTED = 20
@@ -38,317 +47,381 @@ FOLDS = 2
 #: Characters at the language's median that every document is padded with in effect, so
 #: that the chance of a few odd letters does not reject short documents.
 PRIOR_CHARS = 60
+#: Id of the pooled model; a language's is a hash of its name.
+POOLED_ID = 0
+_MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+# ------------------------------------------------------------------ grams of texts
+
+
+def unit_blocks(group: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(grams, owners, low, high)`` of UTF-8 texts, a bounded number at a time.
+
+    ``grams[low[i]:high[i]]`` are the 4-grams that end at the symbols, and at the closing
+    pad, of text ``owners[i]``; a long text comes in several blocks."""
+
+    def grams(units: np.ndarray) -> np.ndarray:
+        g = units.astype(np.uint64)
+        g = g[:-1] << np.uint64(UNIT) | g[1:]
+        return g[:-2] << np.uint64(2 * UNIT) | g[2:]
+
+    def packed(held: list[bytes], owners: list[int]):
+        sizes = np.array([len(x) // 2 for x in held])
+        low = np.concatenate([[0], np.cumsum(sizes + ORDER)[:-1]])
+        return grams(np.frombuffer(PAD * (ORDER - 1) + (PAD * ORDER).join(held) + PAD, dtype="<u2")), np.array(owners), low, low + sizes + 1
+
+    held: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+    for i, text in enumerate(group):
+        if len(text) <= BLOCK:
+            held.append(text.decode("utf-8", "replace").encode("utf-16-le"))
+            owners.append(i)
+            size += len(held[-1]) // 2
+            if size >= BLOCK:
+                yield packed(held, owners)
+                held, owners, size = [], [], 0
+            continue
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        tail = PAD * (ORDER - 1)
+        for s in range(0, len(text), BLOCK):
+            last = s + BLOCK >= len(text)
+            raw = tail + decoder.decode(text[s : s + BLOCK], last).encode("utf-16-le") + (PAD if last else b"")
+            g = grams(np.frombuffer(raw, dtype="<u2"))
+            yield g, np.array([i]), np.array([0]), np.array([len(g)])
+            tail = raw[-2 * (ORDER - 1) :]
+    if held:
+        yield packed(held, owners)
+
+
+def gram_counts(trusted: DataFrame, folds: int) -> DataFrame:
+    """``m, fold, gram, n`` summed by task over ``trusted(m, fold, text)``."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        return gram, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (m, fold), parts in held.items():
+                for g, n in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), m)), pa.array(np.full(len(g), fold, dtype=np.int32)), pa.array(g.view(np.int64)), pa.array(n)], ["m", "fold", "gram", "n"])
+            held.clear()
+
+        for b in chunks(batches, 2, SLICE_BYTES):
+            m, fold = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for g, owners, low, high in unit_blocks(texts(b.column(2))):
+                for key in set(zip(m[owners].tolist(), fold[owners].tolist())):
+                    own = (m[owners] == key[0]) & (fold[owners] == key[1])
+                    step = np.zeros(len(g) + 1, dtype=np.int8)
+                    step[low[own]] += 1
+                    step[high[own]] -= 1
+                    gram, n = np.unique(g[np.cumsum(step[:-1]) > 0], return_counts=True)
+                    held.setdefault(key, []).append((gram, n))
+                    size += len(gram)
+                if size > HELD_GRAMS:
+                    held.update({k: [merged(v)] for k, v in held.items()})
+                    size = sum(len(g) for v in held.values() for g, _ in v)
+                    if size > HELD_GRAMS // 2:
+                        yield from flush()
+                        size = 0
+        held.update({k: [merged(v)] for k, v in held.items()})
+        yield from flush()
+
+    return trusted.select("m", "fold", "text").mapInArrow(run, "m long, fold int, gram long, n long")
+
+
+# ------------------------------------------------------------------ smoothing
+
+
+def model_key(m: Column, variant: Column | int) -> Column:
+    """Key of a model's variant: the one without fold ``variant``, or of all text (-1)."""
+    return F.xxhash64(m, (F.lit(variant) if isinstance(variant, int) else variant).cast("int"))
+
+
+def variants(counts: DataFrame, folds: int) -> DataFrame:
+    """``mk, gram, n``: the counts of every language's and the pooled model, of all text
+    and without each fold, from the counts by fold."""
+    by_fold = counts.groupBy("m", "gram").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(folds)])
+    pooled = F.lit(POOLED_ID).cast("long")
+    every = by_fold.groupBy("gram").agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in range(folds)]).select(pooled.alias("m"), "gram", *[f"n{f}" for f in range(folds)])
+    both = by_fold.where(F.col("m") != pooled).unionByName(every)
+    total = sum((F.col(f"n{f}") for f in range(1, folds)), F.col("n0"))
+    kinds = [F.struct(model_key(F.col("m"), -1).alias("mk"), total.alias("n"))] + [F.struct(model_key(F.col("m"), f).alias("mk"), (total - F.col(f"n{f}")).alias("n")) for f in range(folds)]
+    return both.select("gram", F.explode(F.array(*kinds)).alias("v")).select("v.mk", "gram", "v.n").where("n > 0")
+
+
+def discount_columns(counts: DataFrame) -> DataFrame:
+    """``mk, d1, d2, d3``: modified Kneser-Ney discounts of counts 1, 2 and 3 or more; 0.5,
+    1 and 1.5 where the counts of counts cannot give them."""
+    rows = counts.groupBy("mk").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)])
+    y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+    full = (F.col("c1") > 0) & (F.col("c2") > 0) & (F.col("c3") > 0) & (F.col("c4") > 0)
+    out = []
+    for k in (1, 2, 3):
+        found = k - (k + 1) * y * F.try_divide(f"c{k + 1}", f"c{k}")
+        out.append(F.when(full, F.least(F.greatest(found, F.lit(0.05)), F.lit(k - 0.05))).otherwise(k / 2).alias(f"d{k}"))
+    return rows.select("mk", *out)
+
+
+def entries(counts: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """``kind, mk, gram, value, n`` from the 4-gram counts ``mk, gram, n``.
+
+    Kind ``k`` (1 to 4) is a seen gram of ``k`` symbols with its smoothed log-probability,
+    kind ``-k`` a context of ``k`` symbols (0 to 3) with the logarithm of the mass that is
+    left to the next lower order; context 0 has kind 0.  The tables read from are added to
+    ``paths``.
+    """
+    paths = [] if paths is None else paths
+    tables = {ORDER: counts}
+    mask = lambda k: F.lit((1 << UNIT * k) - 1 if UNIT * k < 64 else -1)
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols before
+        tables[k], path = write_table(tables[k + 1].groupBy("mk", F.col("gram").bitwiseAND(mask(k)).alias("gram")).agg(F.count("*").alias("n")), f"counts-{k}")
+        paths.append(path)
+    out, lower = None, None
+    for k in range(1, ORDER + 1):
+        rows = sized_join(tables[k], discount_columns(tables[k]), "mk")
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = rows.select("mk", "gram", "n", F.shiftrightunsigned("gram", UNIT).alias("context"), F.least(cut, F.col("n")).alias("cut"))
+        inside = Window.partitionBy("mk", "context")
+        rows = rows.withColumns({"total": F.sum("n").over(inside), "left": F.sum("cut").over(inside) / F.sum("n").over(inside), "nth": F.row_number().over(inside.orderBy("gram"))})
+        own = (F.col("n") - F.col("cut")) / F.col("total")
+        if lower is None:
+            made = rows.withColumn("p", own + F.col("left") / SYMBOLS)
+        else:
+            low = lower.where(f"kind = {k - 1}").select("mk", F.col("gram").alias("suffix"), F.exp("value").alias("low"))
+            made = rows.withColumn("suffix", F.col("gram").bitwiseAND(mask(k - 1))).join(low, ["mk", "suffix"]).withColumn("p", own + F.col("left") * F.col("low"))
+        gram = F.struct(F.lit(k).alias("kind"), F.col("gram").alias("gram"), F.log("p").alias("value"), "n")
+        context = F.struct(F.lit(1 - k).alias("kind"), F.col("context").alias("gram"), F.log("left").alias("value"), F.col("total").alias("n"))
+        both = made.select("mk", F.explode(F.when(F.col("nth") == 1, F.array(gram, context)).otherwise(F.array(gram))).alias("e"))
+        lower, path = write_table(both.select("e.kind", "mk", "e.gram", "e.value", "e.n"), f"kneser-ney-{k}")
+        paths.append(path)
+        out = lower if out is None else out.union(lower)
+    return out
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
+# ------------------------------------------------------------------ scoring
+
+
+class Entries:
+    """Entries by hash: sorted keys, where each range of keys begins, and values."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, complete: bool):
+        order = np.argsort(keys)
+        self.complete = complete
+        self.keys = np.concatenate([keys[order], np.full(1, np.iinfo(np.uint64).max)])
+        self.values = np.concatenate([values[order], np.full(1, np.nan, np.float32)])
+        bits = max(1, int(len(keys)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    @staticmethod
+    def key(kind: int, mk: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """64-bit hash: one-to-one among the grams of a model's kind."""
+        with np.errstate(over="ignore"):
+            x = gram * _MULTIPLY[0] ^ (mk + np.uint64(kind % 16)) * _MULTIPLY[1]
+            x = (x ^ x >> np.uint64(29)) * _MULTIPLY[2]
+            return x ^ x >> np.uint64(32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, NaN for those not held."""
+        at = self.begin[keys >> self.shift]
+        got = self.keys[at]
+        behind = np.flatnonzero(got < keys)
+        while len(behind):
+            at[behind] += 1
+            got[behind] = self.keys[at[behind]]
+            behind = behind[got[behind] < keys[behind]]
+        return np.where(got == keys, self.values[at], np.float32(np.nan))
+
+    def log_probs(self, mk: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """Log-probabilities of 4-grams; NaN where an entry that was not sent may hold it."""
+        out = self.find(self.key(ORDER, mk, gram)).astype(np.float64)
+        rest = np.flatnonzero(np.isnan(out)) if self.complete else np.zeros(0, np.int64)
+        total = np.zeros(len(rest))
+        for k in range(ORDER - 1, -1, -1):  # back off to grams of k symbols
+            if not len(rest):
+                break
+            cut = lambda n: gram[rest] & np.uint64((1 << UNIT * n) - 1 if n < ORDER else 2**64 - 1)  # noqa: B023, E731
+            left = self.find(self.key(-k, mk[rest], cut(k + 1) >> np.uint64(UNIT)))
+            total += np.where(np.isnan(left), 0, left)
+            if k == 0:
+                out[rest] = total - math.log(SYMBOLS)
+                break
+            p = self.find(self.key(k, mk[rest], cut(k)))
+            known = ~np.isnan(p)
+            out[rest[known]] = total[known] + p[known]
+            rest, total = rest[~known], total[~known]
+        return out
+
+
+def sent_entries(table: DataFrame, most: int = SENT_ENTRIES) -> Entries:
+    """What the workers get: all entries if they are at most ``most``, else the 4-grams of
+    the highest counts, ties in or out together."""
+    complete = table.count() <= most
+    rows = table
+    if not complete:
+        rows = table.where(F.col("kind") == ORDER)
+        step = F.floor(F.log2("n") * 8).cast("int")
+        total, least = 0, 1 << 30
+        for r in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+            total += r["count"]
+            if total > most:
+                break
+            least = r["step"]
+        rows = rows.where(step >= least)
+    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+    for b in rows.select("kind", "mk", "gram", F.col("value").cast("float").alias("value")).toArrow().to_batches():
+        kind, mk, gram, value = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        for k in np.unique(kind):
+            own = kind == k
+            keys.append(Entries.key(int(k), mk[own].view(np.uint64), gram[own].view(np.uint64)))
+            values.append(value[own])
+    return Entries(np.concatenate(keys), np.concatenate(values), complete)
+
+
+def resolved(grams: DataFrame, table: DataFrame) -> DataFrame:
+    """``mk, gram, value``: log-probabilities of distinct 4-grams by joins with the entries."""
+    of = lambda kind, name: table.where(f"kind = {kind}").select(F.col("mk"), F.col("gram").alias("at"), F.col("value").alias(name))
+    part = lambda n, drop: F.shiftrightunsigned(F.col("gram").bitwiseAND(F.lit((1 << UNIT * n) - 1 if n < ORDER else -1)), UNIT * drop)
+    rows = grams.withColumn("at", F.col("gram")).join(of(ORDER, "value"), ["mk", "at"], "left").withColumn("left", F.lit(0.0))
+    for k in range(ORDER - 1, -1, -1):
+        rows = rows.drop("at").withColumn("at", part(k + 1, 1)).join(of(-k, "mass"), ["mk", "at"], "left").withColumn("left", F.col("left") + F.coalesce("mass", F.lit(0.0))).drop("at", "mass")
+        if k:
+            rows = rows.withColumn("at", part(k, 0)).join(of(k, "p"), ["mk", "at"], "left").withColumn("value", F.coalesce("value", F.col("p") + F.col("left"))).drop("p")
+    return rows.select("mk", "gram", F.coalesce("value", F.col("left") - math.log(SYMBOLS)).alias("value"))
+
+
+def score(rows: DataFrame, table: DataFrame, most: int = SENT_ENTRIES, paths: list[str] | None = None) -> DataFrame:
+    """The columns of ``rows(mk, text, ...)`` but the text, with ``log_p`` and ``n``: the
+    sum of the symbols' log-probabilities and their number, the closing pad included."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(sent_entries(table, most))
+    other = [f for f in rows.schema.fields if f.name not in ("mk", "text")]
+    held = rows.select("mk", "text", F.struct(F.monotonically_increasing_id().alias("rid"), *[f.name for f in other]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for b in chunks(batches, 1, SLICE_BYTES):
+            mk = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            log_p, n = np.zeros(b.num_rows), np.zeros(b.num_rows, dtype=np.int64)
+            cold: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            for g, owners, low, high in unit_blocks(texts(b.column(1))):
+                owner = np.repeat(owners, np.diff(np.append(low, len(g))))
+                value = table.log_probs(mk[owner], g)
+                if not table.complete:
+                    step = np.zeros(len(g) + 1, dtype=np.int8)
+                    step[low] += 1
+                    step[high] -= 1
+                    away = np.flatnonzero(np.isnan(value) & (np.cumsum(step[:-1]) > 0))
+                    cold.append((owner[away], g[away]))
+                    value = np.nan_to_num(value)
+                total = np.concatenate([[0.0], np.cumsum(value)])
+                log_p[owners] += total[high] - total[low]
+                n[owners] += high - low
+            who, gram = (np.concatenate(x) for x in zip(*cold))
+            order = np.lexsort((gram, who))
+            who, gram = who[order], gram[order]
+            new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (gram[1:] != gram[:-1])]) if len(who) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(who)))
+            offsets = np.searchsorted(who[new], np.arange(b.num_rows + 1))
+            pairs = pa.StructArray.from_arrays([pa.array(gram[new].view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "times"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(log_p), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["mk", "row", "log_p", "n", "cold"])
+
+    kind = held.schema["row"].dataType.simpleString()
+    made = held.mapInArrow(run, f"mk long, row {kind}, log_p double, n long, cold array<struct<gram: long, times: long>>")
+    names = [F.col("row")[f.name].alias(f.name) for f in other]
+    if sent.value.complete:
+        return made.select(*names, "log_p", "n")
+    table_, path = write_table(made, "partial-scores")
+    if paths is not None:
+        paths.append(path)
+    cold = table_.select("row.rid", "mk", F.explode("cold").alias("c")).select("rid", "mk", "c.gram", "c.times")
+    values, path = write_table(resolved(cold.select("mk", "gram").distinct(), table), "resolved")
+    if paths is not None:
+        paths.append(path)
+    more = cold.join(values, ["mk", "gram"]).groupBy("rid").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+    return table_.join(more, table_["row"]["rid"] == more["rid"], "left").select(*names, (F.col("log_p") + F.coalesce("more", F.lit(0.0))).alias("log_p"), "n")
+
+
+# ------------------------------------------------------------------ classification
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """``doc_id`` of what is labelled good and never poor."""
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(lang, text)`` of documents labelled good and never labelled poor, with text."""
+def trusted_documents(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """``(lang, text, fold)`` of documents labelled good and never labelled poor, with
+    text.  Equal texts are in one fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    return sized_join(rows, trusted_ids(labels), "doc_id", "left_semi")
-
-
-def _alphabets(trusted: DataFrame, models: list[str]) -> dict[str, np.ndarray]:
-    """Model -> code points of its symbols 2 ... (at most 126, by count then code)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 1):
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(lang if lang in models else POOLED, []).append(text)
-            for model, group in by.items():
-                point, n = np.unique(_points("".join(group)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(n)), pa.array(point.astype(np.int64)), pa.array(n)], ["model", "point", "n"])
-
-    own = trusted.select("lang", "text").mapInArrow(run, "model string, point long, n long").groupBy("model", "point").agg(F.sum("n").alias("n"))
-    every = own.groupBy("point").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("model"), "point", "n")
-    first = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("n"), "point"))
-    rows = own.where(F.col("model") != POOLED).union(every).withColumn("at", first).where(F.col("at") <= SYMBOLS - 2).collect()
-    out: dict[str, list[tuple[int, int]]] = {POOLED: []}
-    for r in rows:
-        out.setdefault(r["model"], []).append((r["at"], r["point"]))
-    return {m: np.array([p for _, p in sorted(v)], dtype=np.int64) for m, v in out.items()}
-
-
-class Encoder:
-    """Symbols of texts under the models' alphabets."""
-
-    def __init__(self, alphabets: dict[str, np.ndarray]):
-        self.alphabets, self.tables = alphabets, {}
-
-    def model_of(self, lang: str | None) -> str:
-        return lang if lang in self.alphabets else POOLED
-
-    def table(self, model: str) -> np.ndarray:
-        if model not in self.tables:
-            self.tables[model] = np.ones(0x110000, dtype=np.uint8)
-            self.tables[model][self.alphabets[model]] = np.arange(2, 2 + len(self.alphabets[model]))
-            self.tables[model][0] = 1
-        return self.tables[model]
-
-    def encode(self, model: str, group: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all texts, each after ``ORDER - 1`` pads and before one, and the
-        positions at which the texts' own symbols (with the closing pad) start."""
-        joined = ("\0" * ORDER).join(group)
-        points = _points(("\0" * (ORDER - 1)) + joined + "\0")
-        symbols = self.table(model)[points]
-        sizes = np.array([len(t) for t in group])
-        starts = (ORDER - 1) + np.concatenate([[0], np.cumsum(sizes + ORDER)[:-1]])
-        pads = (starts[:, None] + np.arange(-(ORDER - 1), 0)[None, :]).ravel()
-        symbols[pads] = 0
-        symbols[starts + sizes] = 0
-        return symbols.astype(np.uint32), starts
-
-
-def _grams(symbols: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends at each position from ``ORDER - 1`` on."""
-    return symbols[:-3] << 21 | symbols[1:-2] << 14 | symbols[2:-1] << 7 | symbols[3:]
-
-
-def gram_counts(trusted: DataFrame, encoder: Encoder) -> DataFrame:
-    """``(model, gram, n)`` over all trusted text; the pooled model counts every text."""
+    return sized_join(rows, trusted_ids(labels), "doc_id", "left_semi").select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 1):
-            by: dict[str, list[str]] = {POOLED: []}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by[POOLED].append(text)
-                if encoder.model_of(lang) != POOLED:
-                    by.setdefault(lang, []).append(text)
-            for model, group in by.items():
-                symbols, starts = encoder.encode(model, group)
-                own = np.ones(len(symbols) - (ORDER - 1), dtype=bool)
-                ends = starts + np.array([len(t) for t in group])
-                for k in range(1, ORDER):  # windows that end in the next text's pads
-                    own[(ends + k - (ORDER - 1))[ends + k < len(symbols)]] = False
-                gram, n = np.unique(_grams(symbols)[own], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(n)), pa.array(gram.astype(np.int64)), pa.array(n)], ["model", "gram", "n"])
-
-    return trusted.select("lang", "text").mapInArrow(run, "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more; 0.5, 1 and 1.5 where
-    the counts of counts cannot give them."""
-    if not (n1 and n2 and n3 and n4):
-        return 0.5, 1.0, 1.5
-    y = n1 / (n1 + 2 * n2)
-    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(found))  # type: ignore[return-value]
-
-
-def smoothed(words: np.ndarray, counts: np.ndarray, lower: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    """One context's distribution: discounted counts plus the mass they free, spread as
-    the next lower order has it."""
-    p, total = np.zeros(SYMBOLS), counts.sum()
-    cut = np.choose(np.minimum(counts, 3) - 1, d)
-    p[words] = np.maximum(counts - cut, 0) / total
-    return p + np.minimum(cut, counts).sum() / total * lower
-
-
-def distributions(grams: DataFrame, paths: list[str] | None = None) -> DataFrame:
-    """``(model, length, context, p)``: the smoothed distribution of every context of 0
-    to 3 symbols that trusted text has, as 128 probabilities.  The tables it is read
-    from are added to ``paths``.
-
-    Each order's counts are grouped by context (at most 128 rows each) and joined with
-    the distributions of the contexts shorter by the first symbol.
-    """
-    counts = {ORDER: grams}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols before
-        counts[k] = counts[k + 1].groupBy("model", (F.col("gram") % (1 << SHIFT * k)).alias("gram")).agg(F.count("*").alias("n"))
-    found: dict[int, dict[str, tuple]] = {}
-    for k, table in counts.items():
-        rows = table.groupBy("model").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
-        found[k] = {r["model"]: discounts(r["n1"], r["n2"], r["n3"], r["n4"]) for r in rows}
-
-    def smooth(order: int):
-        by_model = found[order]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                models = b.column(0).to_pylist()
-                out = [smoothed(np.array([x["w"] for x in s]), np.array([x["n"] for x in s]), np.array(low, dtype=float), by_model[m]).astype(np.float32) for m, s, low in zip(models, b.column(2).to_pylist(), b.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float32()))], ["model", "context", "p"])
+def languages(trusted: DataFrame, folds: int) -> DataFrame:
+    """``lang, m, others``: the languages with enough trusted text, the ids of their
+    models and how many of their documents are outside each fold."""
+    by_fold = [F.count_if(F.col("fold") == f) for f in range(folds)]
+    rows = trusted.where(F.col("lang") != POOLED).groupBy("lang").agg(F.count("*").alias("size"), F.array(*[F.count("*") - x for x in by_fold]).alias("others"))
+    return rows.where(F.col("size") >= MIN_TRUSTED).select("lang", F.xxhash64("lang").alias("m"), "others")
 
-        return run
 
-    uniform = F.array_repeat(F.lit(1.0 / SYMBOLS).cast("float"), SYMBOLS)
-    levels, lower = [], None
-    for k in range(1, ORDER + 1):
-        rows = counts[k].groupBy("model", F.shiftrightunsigned("gram", SHIFT).alias("context")).agg(F.collect_list(F.struct((F.col("gram") % SYMBOLS).alias("w"), "n")).alias("seen"))
-        if lower is None:
-            rows = rows.withColumn("lower", uniform)
-        else:
-            suffix = (F.col("context") % (1 << SHIFT * (k - 2))).alias("suffix") if k > 2 else F.lit(0).cast("long").alias("suffix")
-            rows = rows.select("model", "context", "seen", suffix).join(lower.select("model", F.col("context").alias("suffix"), F.col("p").alias("lower")), ["model", "suffix"])
-        made = rows.select("model", "context", "seen", "lower").mapInArrow(smooth(k), "model string, context long, p array<float>")
-        lower, path = write_table(made, f"kneser-ney-{k}")
-        if paths is not None:
-            paths.append(path)
-        levels.append(lower.select("model", F.lit(k - 1).alias("length"), "context", "p"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out
-
-
-def shard_number(pair, shards: int):
-    """Shard of the last two symbols of a context (a Column or an array)."""
-    return ((pair * 40503) % 65536) % shards
-
-
-class Shard:
-    """Distributions of the contexts of one shard, looked up by three symbols."""
-
-    def __init__(self, rows: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.rows, self.tables = rows, {}
-
-    def log_probs(self, model: str) -> tuple[np.ndarray, np.ndarray]:
-        """Row of every three symbols (the longest suffix that is known), and the rows."""
-        if model not in self.tables:
-            if len(self.tables) > 3:
-                self.tables.clear()
-            length, context, p = self.rows[model]
-            at = np.zeros((SYMBOLS,) * 3, dtype=np.int32)
-            for k in range(ORDER):
-                own = np.flatnonzero(length == k)
-                c = context[own]
-                last, mid, first = c % SYMBOLS, c >> SHIFT & 127, c >> 2 * SHIFT
-                if k == 0:
-                    at[:] = own[0]
-                elif k == 1:
-                    at[:, :, last] = own
-                elif k == 2:
-                    at[:, mid, last] = own
-                else:
-                    at[first, mid, last] = own
-            self.tables[model] = at.ravel(), np.log(p).astype(np.float32).ravel()
-        return self.tables[model]
-
-
-def score(docs: DataFrame, encoder: Encoder, table: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """``doc_id, k1, k2, model, log_p, n`` of every row with text: the sum of its
-    characters' log-probabilities and their number, the closing pad included."""
-    spark = docs.sparkSession
-    total = table.groupBy("length").count().collect()
-    size = {r["length"]: r["count"] for r in total}
-    shards = max(1, -(-(size.get(3, 0) + size.get(2, 0)) // shard_contexts))
-    pair = F.col("context") % (1 << 2 * SHIFT)
-    long = F.col("length") >= 2
-    while shards > 1 and table.where(long).groupBy(shard_number(pair, shards).alias("s")).count().agg(F.max("count")).first()[0] > shard_contexts:
-        shards *= 2
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text", "lang"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("row", F.monotonically_increasing_id())
-    parts = []
-    for s in range(shards):
-        held: dict[str, list] = {}
-        for r in table.where(~long | (shard_number(pair, shards) == s)).toArrow().to_batches(max_chunksize=8192):
-            p = r.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, SYMBOLS)
-            names = np.array(r.column(0).to_pylist())
-            for model in set(names):
-                own = names == model
-                held.setdefault(model, []).append((r.column(1).to_numpy()[own], r.column(2).to_numpy()[own], p[own]))
-        shard = Shard({m: tuple(np.concatenate(x) for x in zip(*v)) for m, v in held.items()})
-        sent = spark.sparkContext.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, s=s) -> Iterator[pa.RecordBatch]:
-            for b in chunks(batches, 4):
-                models = np.array([encoder.model_of(x) for x in b.column(3).to_pylist()], dtype=object)
-                all_texts = b.column(4).to_pylist()
-                log_p, n = np.zeros(b.num_rows), np.zeros(b.num_rows, dtype=np.int64)
-                for model in set(models):
-                    own = np.flatnonzero(models == model)
-                    group = [all_texts[i] for i in own]
-                    symbols, starts = encoder.encode(model, group)
-                    at, logs = sent.value.log_probs(model)
-                    context = symbols[:-3] << 14 | symbols[1:-2] << 7 | symbols[2:-1]
-                    values = logs[at[context].astype(np.int64) * SYMBOLS + symbols[3:]].astype(np.float64)
-                    if shards > 1:
-                        values *= shard_number((context & 0x3FFF).astype(np.int64), shards) == s
-                    sizes = np.array([len(t) for t in group]) + 1
-                    sums = np.concatenate([[0.0], np.cumsum(values)])
-                    first = starts - (ORDER - 1)
-                    log_p[own], n[own] = sums[first + sizes] - sums[first], sizes
-                yield pa.RecordBatch.from_arrays([b.column(5), b.column(0), b.column(1), b.column(2), pa.array(models.tolist(), pa.string()), pa.array(log_p), pa.array(n)], ["row", "doc_id", "k1", "k2", "model", "log_p", "n"])
-
-        parts.append(rows.select("doc_id", "k1", "k2", "lang", "text", "row").mapInArrow(run, "row long, doc_id long, k1 long, k2 long, model string, log_p double, n long"))
-    if shards == 1:
-        return parts[0].drop("row")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "k1", "k2", "model")], F.sum("log_p").alias("log_p"), F.first("n").alias("n")).drop("row")
-
-
-def held_out(trusted: DataFrame, alphabets: dict[str, np.ndarray], shard_contexts: int, folds: int = FOLDS) -> DataFrame:
+def held_out(trusted: DataFrame, known: DataFrame, table: DataFrame, most: int, folds: int, paths: list[str]) -> DataFrame:
     """``model, log_p, n`` of the trusted documents under models of the other folds'
-    text.  Equal texts are in one fold; a language that only one fold has is scored there
-    by the pooled model, and a fold that has all trusted text is left out."""
-    spark, encoder, parts = trusted.sparkSession, Encoder(alphabets), []
-    fold = F.pmod(F.xxhash64("text"), F.lit(folds))
-    for f in range(folds):
-        grams, path = write_table(gram_counts(trusted.where(fold != f), encoder), "grams")
-        paths, models = [path], {r["model"] for r in grams.select("model").distinct().collect()}
-        if models:
-            seen = Encoder({m: a for m, a in alphabets.items() if m in models})
-            own = trusted.where(fold == f).select(F.lit(0).cast("long").alias("doc_id"), "lang", "text")
-            parts.append(write_table(score(own, seen, distributions(grams, paths), shard_contexts).select("model", "log_p", "n"), "held-out")[0])
-        for p in paths:
-            drop_table(spark, p)
-        # shuffle files go when the driver finds that nothing refers to them
-        gc.collect()
-        spark._jvm.System.gc()
-    if not parts:
-        return spark.createDataFrame([], "model string, log_p double, n long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    text.  A language that only one fold has is scored there by the pooled model, and
+    a fold that has all trusted text is left out."""
+    sizes = trusted.groupBy("fold").count().collect()
+    total = sum(r["count"] for r in sizes)
+    alone = [r["fold"] for r in sizes if r["count"] == total]
+    rows = sized_join(trusted.where(~F.col("fold").isin(alone)) if alone else trusted, known, "lang", "left")
+    own = F.coalesce(F.get("others", F.col("fold")) > 0, F.lit(False))
+    return score(rows.select(model_key(F.when(own, F.col("m")).otherwise(F.lit(POOLED_ID).cast("long")), F.col("fold")).alias("mk"), "text", F.when(own, F.col("lang")).otherwise(POOLED).alias("model")), table, most, paths)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_contexts: int = SHARD_CONTEXTS, folds: int = FOLDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most: int = SENT_ENTRIES, folds: int = FOLDS) -> DataFrame:
     """One row per document: ``doc_id, k1, k2, model, perplexity, threshold, keep``.
 
-    ``perplexity`` is that of the characters and ``PRIOR_CHARS`` more at the median of
+    ``perplexity`` is that of the UTF-16 units and ``PRIOR_CHARS`` more at the median of
     the model's trusted documents; ``threshold`` is the quantile of the trusted documents'
     perplexities, each under models that have not seen its text.
     A null or unknown language, or one with fewer than 20 trusted documents, is
     scored by the pooled model.  A null or empty text has null perplexity and is not
     kept; without any trusted text nothing can be judged and every text is kept.
-    Repeated rows are scored alike.
+    Repeated rows are scored alike, and text that is no UTF-8 as if repaired.
     """
-    trusted = trusted_documents(docs, labels)
-    langs = trusted.where("lang is not null").groupBy("lang").count().where(F.col("count") >= MIN_TRUSTED).orderBy(F.desc("count"), "lang").limit(1000).collect()
-    models = [r["lang"] for r in langs if r["lang"] != POOLED]
-    alphabets = _alphabets(trusted, models)
-    everything = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text", "lang"), F.col("text").cast("string").alias("text"))
-    empty = everything.where("text is null or text = ''").select("doc_id", "k1", "k2", F.lit(None).cast("string").alias("model"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(False).alias("keep"))
-    if not len(alphabets[POOLED]):
-        rest = everything.where("text <> ''").select("doc_id", "k1", "k2", F.lit(None).cast("string").alias("model"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-        return rest.union(empty)
-    unseen = held_out(trusted, alphabets, shard_contexts, folds)
-    encoder = Encoder(alphabets)
-    grams, path = write_table(gram_counts(trusted, encoder), "grams")
-    table = distributions(grams)
-    scored, _ = write_table(score(docs, encoder, table, shard_contexts), "scores")
-    drop_table(docs.sparkSession, path)
-    known = scored.join(trusted_ids(labels), "doc_id", "left_semi")
-    middle = known.groupBy("model").agg(F.percentile_approx(-F.col("log_p") / F.col("n"), 0.5, 10000).alias("middle"))
-    pooled = known.agg(F.percentile_approx(-F.col("log_p") / F.col("n"), 0.5, 10000).alias("pooled_middle"))
-    rate = lambda mid: (-F.col("log_p") + F.lit(PRIOR_CHARS) * mid) / (F.col("n") + PRIOR_CHARS)
-    centre = lambda rows: rows.join(F.broadcast(middle), "model", "left").crossJoin(F.broadcast(pooled)).withColumn("rate", rate(F.coalesce("middle", "pooled_middle")))
-    centred = centre(scored)
+    spark = docs.sparkSession
+    trusted = trusted_documents(docs, labels, folds)
+    known, known_path = write_table(languages(trusted, folds), "languages")
+    everything = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text", "lang"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    unjudged = lambda rows, keep: rows.select("doc_id", "k1", "k2", F.lit(None).cast("string").alias("model"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(keep).alias("keep"))
+    empty = unjudged(everything.where("text is null or text = ''"), False)
+    named = sized_join(trusted, known.select("lang", "m"), "lang", "left").select(F.coalesce("m", F.lit(POOLED_ID).cast("long")).alias("m"), "fold", "text")
+    counts, path = write_table(variants(gram_counts(named, folds), folds), "grams")
+    if counts.isEmpty():
+        return unjudged(everything.where("text <> ''"), True).union(empty)
+    paths = [path]
+    table = entries(counts, paths)
+    mine = known.select("m").union(spark.range(1).select(F.lit(POOLED_ID).cast("long").alias("m"))).select(model_key(F.col("m"), -1).alias("mk"))
+    rest = sized_join(table, mine.withColumn("all", F.lit(True)), "mk", "left")
+    unseen, unseen_path = write_table(held_out(trusted, known, rest.where("all is null").drop("all"), most, folds, paths), "held-out")
+    rows = sized_join(everything.where("text <> ''"), known.select("lang", "m"), "lang", "left")
+    rows = rows.select("doc_id", "k1", "k2", F.when(F.col("m").isNull(), POOLED).otherwise(F.col("lang")).alias("model"), model_key(F.coalesce("m", F.lit(POOLED_ID).cast("long")), -1).alias("mk"), "text")
+    scored, _ = write_table(score(rows, rest.where("all").drop("all"), most, paths), "scores")
+    per_unit = -F.col("log_p") / F.col("n")
+    middle = unseen.groupBy("model").agg(F.percentile_approx(per_unit, 0.5, 10000).alias("middle"))
+    overall = unseen.agg(F.percentile_approx(per_unit, 0.5, 10000)).first()[0]
+    centre = lambda rows: sized_join(rows, middle, "model", "left").withColumn("rate", (F.lit(PRIOR_CHARS) * F.coalesce("middle", F.lit(overall), per_unit) - F.col("log_p")) / (F.col("n") + PRIOR_CHARS))
     limits = centre(unseen).groupBy("model").agg(F.percentile_approx("rate", quantile, 10000).alias("limit"), F.count("*").alias("size"))
-    overall = limits.agg(F.max("limit").alias("any_limit"))
-    judged = centred.join(F.broadcast(limits.where(F.col("size") >= MIN_TRUSTED)), "model", "left").crossJoin(F.broadcast(overall))
-    limit = F.coalesce("limit", "any_limit")
+    limits, _ = write_table(limits, "limits")
+    widest = limits.agg(F.max("limit")).first()[0]
+    judged = sized_join(centre(scored), limits.where(F.col("size") >= MIN_TRUSTED), "model", "left")
+    limit = F.coalesce("limit", F.lit(widest).cast("double"))
+    for p in [*paths, known_path]:
+        drop_table(spark, p)
     out = judged.select("doc_id", "k1", "k2", "model", F.exp("rate").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(F.col("rate") <= limit, F.lit(True)).alias("keep"))
     return out.union(empty)
 
