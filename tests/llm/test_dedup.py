@@ -184,18 +184,42 @@ def test_cuckoo_filter():
 def passages():
     rng = np.random.default_rng(8)
     text = lambda n: " ".join(rng.choice(WORDS, n))
-    shared, other = text(60), text(70)
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    shared, other, third = text(60), text(70), text(60)
     changed = other.split()
     changed[20] = "different"
     docs = [text(30) + " " + shared + " " + text(20), text(50) + " " + shared, other, " ".join(changed) + "\n" + text(45), text(80), text(10), None, "", text(30) + "\n" + other]
-    return docs + [docs[4]]
+    docs += [docs[4], wrap(third, 30), wrap(third, 20), text(12) + "\n\n" + third.upper().replace(" ", "  "), wrap(docs[4], 11), text(49), "x " + " ".join(third.split()[:49])]
+    return docs + [text(100) + "\n" + shared + "\n" + text(200) + wrap(" " + third + " ", 7) + text(50)]
 
 
-def test_repeated_text_against_brute_force(spark):
+def brute_spans(docs):
+    """Spans of 50-word windows that another document has, and that an earlier one has."""
+    words = [(t or "").lower().split() for t in docs]
+    has = defaultdict(set)
+    for d, w in enumerate(words):
+        for k in range(len(w) - 49):
+            has[tuple(w[k : k + 50])].add(d)
+
+    def spans(d, test):
+        starts = [k for k in range(len(words[d]) - 49) if test(has[tuple(words[d][k : k + 50])])]
+        return sub.merged_spans(np.array(starts, dtype=np.int64))
+
+    return {d: (spans(d, lambda s: len(s) > 1), spans(d, lambda s: min(s) < d)) for d in range(len(docs))}  # noqa: B023
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_text_against_brute_force(spark, monkeypatch, small):
+    """Also with texts cut into parts and without broadcasts."""
+    if small:
+        monkeypatch.setattr(sub, "SPLIT_BYTES", 40)
+        monkeypatch.setattr(sub, "BLOCK", 16)
+        monkeypatch.setattr("tidemark.llm.common.BROADCAST_ROWS", 0)
     docs = passages()
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(docs)], "doc_id long, text string, key int")
-    found = {(r.doc_id, r.paragraph): r for r in sub.repeated_text(df).collect()}
-    paras = [(d, k, line.split()) for d, t in enumerate(docs) for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= sub.MIN_WORDS]
+    rows = sub.repeated_text(df).collect()
+    found = {(r.doc_id, r.paragraph): r for r in rows if r.paragraph >= 0}
+    paras = [(d, k, line.lower().split()) for d, t in enumerate(docs) for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= sub.MIN_WORDS]
     grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
     near = defaultdict(set)
     for d, k, w in paras:
@@ -203,13 +227,21 @@ def test_repeated_text_against_brute_force(spark):
             a, b = grams(w, 5), grams(v, 5)
             if d != e and len(a & b) >= 0.8 * len(a | b):
                 near[(d, k)].add((e, m))
-    shares = {(d, k) for d, k, w in paras for e, m, v in paras if d != e and grams(w, 50) & grams(v, 50)}
-    assert {x for x, r in found.items() if r.shared} >= shares
-    assert set(found) == set(near) | shares
-    assert {x for x, r in found.items() if (r.cluster_doc, r.cluster_paragraph) != x} == {(3, 0), (8, 1), (9, 0)}
+    assert set(found) == set(near)
+    assert {x: (r.cluster_doc, r.cluster_paragraph) for x, r in found.items() if not r.keep} == {x: min(near[x]) for x in near if min(near[x]) < x}
+    want = {d: x for d, x in brute_spans(docs).items() if x[0]}
+    assert {r.doc_id: (r.shared, r.removable) for r in rows if r.paragraph < 0} == want
+    assert {0, 1, 10, 11, 12, 13, 16} <= set(want) and not {5, 6, 7, 14, 15} & set(want)
     assert sub.repeated_text(df.limit(0)).count() == 0
 
 
+def test_repeated_text_of_odd_rows(spark):
+    long, other = " ".join(WORDS[:60]), " ".join(WORDS[60:140])
+    rows = [(1, long), (1, long), (None, long), (None, other), (2, "\x0b" + long.upper()), (3, other), (None, None)]
+    got = sub.repeated_text(spark.createDataFrame(rows, "doc_id long, text string")).where("paragraph = -1").collect()
+    assert sorted((str(r.doc_id), r.cluster_doc, r.keep, r.shared, r.removable) for r in got) == [("1", 1, True, "0-60", "")] * 2 + [("2", 1, False, "0-60", "0-60"), ("None", 1, True, "0-60", "")]
+
+
 def test_bands_reach_their_recall():
     for s in (0.6, 0.8, 0.9):
         bands, rows = sub.tune_bands(s, 0.99)

@@ -1,14 +1,18 @@
 """Substring dedup: paragraph MinHash banding, exact verification, components.
 
-Paragraphs (lines of enough words) are sets of 5-word shingles; their MinHash bands are
-tuned for recall, paragraphs that collide in a band are compared by exact Jaccard, and
-components of the links are the clusters of which one paragraph stays.  A passage that
-repeats inside differing paragraphs is found by 32-word pieces at content-chosen starts
-(winnowing): any two paragraphs that share 50 words in a row share such a piece.
+Paragraphs (lines of at least ``MIN_WORDS`` words) are sets of 5-word shingles; their MinHash
+bands are tuned for recall, paragraphs that collide in a band are compared by exact Jaccard,
+and components of the links are the clusters of which one paragraph stays.
+
+A passage of ``PASSAGE`` words that repeats inside differing paragraphs, or over line
+breaks, is found on the whole text's words: 32-word pieces at content-chosen starts
+(winnowing) are candidates, since two texts that share 50 words in a row share such a piece,
+and the 50-word windows around the pieces that occur in several texts decide exactly.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, connected_components, drop_table, sized_join, texts, write_table
+from tidemark.llm.common import chunks, connected_components, drop_table, row_key, sized_join, texts, write_table
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.999
-#: Words that a paragraph has at least to be compared.
-MIN_WORDS = 25
-#: Words of a repeated passage that is found for certain, and of its pieces.
+#: Words of a repeated passage that is found wherever it lies, and of its pieces.
 PASSAGE, PIECE = 50, 32
+#: Words that a paragraph has at least to be compared; shorter repeats are left to line dedup.
+MIN_WORDS = PASSAGE
+#: Bytes of a text split into words at a time, and words or shingles worked on at a time.
+SPLIT_BYTES, BLOCK = 1 << 20, 1 << 16
 #: Texts of one band group compared in one task; larger groups go by pairs of blocks.
 GROUP_BLOCK = 1024
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _ODD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
@@ -60,69 +67,108 @@ class Hasher:
         return np.array([seen[w] for w in words], dtype=np.uint64)
 
 
-def paragraph_rows(group: list[bytes], hasher: Hasher, bands: int, rows: int) -> dict[str, np.ndarray | list]:
-    """For the paragraphs of a group of texts: the text's number, the paragraph's number,
-    its words, the hash of its words, its bands, shingles (distinct, sorted) and pieces."""
-    owner, number, words, sizes = [], [], [], []
+def word_hashes(line: bytes, hasher: Hasher) -> np.ndarray:
+    """Hashes of a line's words in lower case, a bounded part of it at a time."""
+    if len(line) <= SPLIT_BYTES:
+        return hasher(line.split())
+    out, start = [], 0
+    while start < len(line):
+        cut = BLANK.search(line, start + SPLIT_BYTES)
+        end = cut.start() if cut else len(line)
+        out.append(hasher(line[start:end].split()))
+        start = end
+    return np.concatenate(out)
+
+
+class Runs:
+    """Hashes of runs of words, from prefix sums of a polynomial."""
+
+    def __init__(self, h: np.ndarray):
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(len(h), _ODD, dtype=np.uint64))
+            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
+            self.inverse = np.cumprod(np.full(len(h), pow(_ODD, -1, 1 << 64), dtype=np.uint64))
+
+    def __call__(self, at: np.ndarray, length: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mix((self.total[at + length] - self.total[at]) * self.inverse[at])
+
+
+def piece_starts(runs: Runs, ends: np.ndarray) -> np.ndarray:
+    """Starts of the pieces: of every ``PASSAGE`` words in a row inside one text, the start
+    whose next three words hash least.  ``ends`` has each word's end of text."""
+    span, out = PASSAGE - PIECE + 1, [np.zeros(0, np.int64)]
+    for s in range(0, len(ends) - PASSAGE + 1, BLOCK):
+        e = min(len(ends) - PASSAGE + 1, s + BLOCK)
+        low = np.lib.stride_tricks.sliding_window_view(runs(np.arange(s, e + span - 1), 3), span).argmin(axis=1)
+        inside = np.flatnonzero(np.arange(s, e) + PASSAGE <= ends[s:e])
+        out.append(s + inside + low[inside])
+    return np.unique(np.concatenate(out))
+
+
+def shingle_set(h: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the 5-word shingles of a paragraph, sorted."""
+    return np.unique(Runs(h)(np.arange(len(h) - SHINGLE + 1), SHINGLE))
+
+
+def band_keys(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """MinHash bands of a set of shingles."""
+    draws = np.random.default_rng(17).integers(0, 1 << 63, (2, bands * rows, 1), dtype=np.uint64) | np.uint64(1)
+    low = np.full(bands * rows, _M64, dtype=np.uint64)
+    for s in range(0, len(grams), BLOCK):
+        np.minimum(low, ((grams[None, s : s + BLOCK] * draws[0] + draws[1]) >> np.uint64(20)).min(axis=1), out=low)
+    keys = np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    for k in range(rows):
+        keys = keys * np.uint64(_ODD) + low[k::rows]
+    return _mix(keys)
+
+
+def text_rows(group: list[bytes], hasher: Hasher, bands: int, rows: int) -> list[tuple]:
+    """``owner, paragraph, n_words, key, bands, shingles, pieces, places``: a row of paragraph
+    -1 for each text of at least ``PASSAGE`` words and one for each of its paragraphs."""
+    out, parts, sizes, owners = [], [], [], []
+    none = np.zeros(0, np.int64)
     for i, text in enumerate(group):
-        for k, line in enumerate(text.lower().split(b"\n")):
-            found = line.split()
-            if len(found) >= MIN_WORDS:
-                owner.append(i)
-                number.append(k)
-                words.extend(found)
-                sizes.append(len(found))
-    n = np.array(sizes, dtype=np.int64)
-    if not len(n):
-        return {}
-    h = hasher(words)
-    begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-    para = np.repeat(np.arange(len(n)), n)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(h), _ODD, dtype=np.uint64))
-        inverse = np.cumprod(np.full(len(h), pow(_ODD, -1, 1 << 64), dtype=np.uint64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
-        run = lambda at, length: _mix((total[at + length] - total[at]) * inverse[at])
-        whole = _mix((total[begin + n] - total[begin]) * inverse[begin] + n.astype(np.uint64))
-        at = np.flatnonzero(np.arange(len(h)) + SHINGLE <= (begin + n)[para])
-        gram, first = run(at, SHINGLE), begin - np.arange(len(n)) * (SHINGLE - 1)
-        draws = np.random.default_rng(17).integers(0, 1 << 63, (bands * rows, 2), dtype=np.uint64) | np.uint64(1)
-        keys = np.zeros((len(n), bands), dtype=np.uint64)
-        for k, (a, b) in enumerate(draws):
-            keys[:, k // rows] = keys[:, k // rows] * np.uint64(_ODD) + np.minimum.reduceat((gram * a + b) >> np.uint64(20), first)
-        keys = _mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        # the least of every PASSAGE - PIECE starts in a row begins a piece
-        span = PASSAGE - PIECE
-        pieces: list[np.ndarray] = [np.zeros(0, np.int64)] * len(n)
-        starts = np.zeros(0, np.int64)
-        if len(h) >= PASSAGE:
-            order = run(np.arange(len(h) - 2), 3)
-            low = np.lib.stride_tricks.sliding_window_view(order[: len(h) - PIECE + 1], span)
-            inside = np.flatnonzero(para[: len(low)] == para[np.minimum(np.arange(len(low)) + span - 1 + PIECE - 1, len(h) - 1)])
-            inside = inside[inside + span + PIECE - 1 <= len(h)]
-            starts = np.unique(inside + low[inside].argmin(axis=1))
-            value = run(starts, PIECE).view(np.int64)
-            cut = np.searchsorted(starts, np.concatenate([begin, [len(h)]]))
-            pieces = [value[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            places = [starts[a:b] - s for a, b, s in zip(cut[:-1], cut[1:], begin)]
-        else:
-            places = pieces
-    shingles = [np.unique((g & np.uint64(0x7FFFFFFF)).astype(np.int32)) for g in np.split(gram, first[1:])]
-    return {"owner": np.array(owner), "paragraph": np.array(number), "n_words": n, "key": whole.view(np.int64), "bands": keys.view(np.int64), "shingles": shingles, "pieces": pieces, "places": places}
-
-
-def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``doc_id, paragraph, n_words, key, bands, shingles, pieces, places``."""
-    schema = "doc_id long, paragraph int, n_words int, key long, bands array<long>, shingles array<int>, pieces array<long>, places array<int>"
+        lines = [word_hashes(line, hasher) for line in text.lower().split(b"\n")]
+        h = np.concatenate(lines)
+        if len(h) < PASSAGE:
+            continue
+        parts.append(h)
+        sizes.append(len(h))
+        owners.append(i)
+        for k, own in enumerate(lines):
+            if len(own) >= MIN_WORDS:
+                grams = shingle_set(own)
+                out.append((i, k, len(own), xxhash.xxh64_intdigest(own.tobytes()), band_keys(grams, bands, rows).view(np.int64), grams.view(np.int64), none, none))
+    if parts:
+        runs = Runs(np.concatenate(parts))
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        starts = piece_starts(runs, np.repeat(begin[1:], sizes))
+        values, cut = runs(starts, PIECE).view(np.int64), np.searchsorted(starts, begin)
+        for i, h, a, z, s in zip(owners, parts, cut[:-1], cut[1:], begin):
+            out.append((i, -1, len(h), xxhash.xxh64_intdigest(h.tobytes()), none, none, values[a:z], starts[a:z] - s))
+    return out
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays), kind))
+
+
+def sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``doc_id, k1, k2`` with what ``text_rows`` gives for each text."""
+    schema = "doc_id long, k1 long, k2 long, paragraph int, n_words int, key long, bands array<long>, shingles array<long>, pieces array<long>, places array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in chunks(batches, 1):
-            r = paragraph_rows(texts(b.column(1)), hasher, bands, rows)
-            if r:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r["owner"])), pa.array(r["paragraph"], pa.int32()), pa.array(r["n_words"], pa.int32()), pa.array(r["key"]), pa.array(list(r["bands"]), pa.list_(pa.int64())), pa.array(r["shingles"], pa.list_(pa.int32())), pa.array(r["pieces"], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for p in r["places"]], pa.list_(pa.int32()))], ["doc_id", "paragraph", "n_words", "key", "bands", "shingles", "pieces", "places"])
+        for b in chunks(batches, 3):
+            found = text_rows(texts(b.column(3)), hasher, bands, rows)
+            if found:
+                owner, paragraph, n, key, band, shingles, pieces, places = zip(*found)
+                at = pa.array(owner)
+                arrays = [*(b.column(c).take(at) for c in range(3)), pa.array(paragraph, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(key, dtype=np.uint64).view(np.int64)), _lists(band), _lists(shingles), _lists(pieces), _lists(places, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _verify(similarity: float):
@@ -193,31 +239,92 @@ def paragraph_links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return full.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "key").mapInArrow(_verify(similarity), "src long, dst long").distinct()
 
 
+def merged_spans(starts: np.ndarray) -> str:
+    """The words covered by windows at the sorted starts, as ``first-end`` with the end
+    exclusive, comma-joined."""
+    if not len(starts):
+        return ""
+    new = np.flatnonzero(np.r_[True, np.diff(starts) > PASSAGE])
+    last = np.r_[new[1:] - 1, len(starts) - 1]
+    return ",".join(f"{a}-{z + PASSAGE}" for a, z in zip(starts[new].tolist(), starts[last].tolist()))
+
+
+def repeated_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``key, head, shared, removable``: by key of a text its spans of at least ``PASSAGE``
+    words that a text of another key and another document has too, and those of them that
+    a document of smaller id has.  ``docs(doc_id, k1, k2, text)``; ``rows`` are its
+    ``sketched`` texts."""
+    one = F.min(F.struct("k1", "k2"))
+    # equal texts are one, whose documents are a to z
+    once, _ = write_table(rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), one.alias("at"), F.min_by(F.struct("pieces", "places"), F.struct("k1", "k2")).alias("p")), "texts")
+    low = [F.min("key").alias("k"), F.max("key").alias("m"), F.min("a").alias("first"), F.max("z").alias("last")]
+    several = "k <> m and first <> last"
+    spots, _ = write_table(once.select("key", "a", "z", F.explode("p.pieces").alias("piece")).groupBy("piece").agg(*low).where(several).select("piece"), "shared-pieces")
+    places = once.select("key", "at", "a", "z", F.explode(F.arrays_zip("p.pieces", "p.places")).alias("x")).select("key", "at", "a", "z", F.col("x.pieces").alias("piece"), F.col("x.places").alias("place"))
+    hits, _ = write_table(sized_join(places, spots, "piece", "left_semi").groupBy("key").agg(F.first("at").alias("at"), F.first("a").alias("a"), F.first("z").alias("z"), F.collect_list("place").alias("places")).select("key", "at.k1", "at.k2", "a", "z", "places"), "piece-hits")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in chunks(batches, 0):
+            found, starts = [], []
+            for text, places in zip(texts(b.column(0)), b.column(4)):
+                h = np.concatenate([word_hashes(line, hasher) for line in text.lower().split(b"\n")])
+                at = np.unique((places.values.to_numpy()[:, None] - np.arange(PASSAGE - PIECE + 1)[None, :]).ravel()).astype(np.int64)
+                at = at[(at >= 0) & (at + PASSAGE <= len(h))]
+                found.append(Runs(h)(at, PASSAGE).view(np.int64))
+                starts.append(at)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), _lists(found), _lists(starts, pa.int32())], ["key", "a", "z", "windows", "starts"])
+
+    read = sized_join(docs.select("k1", "k2", "text"), hits, ["k1", "k2"]).select("text", "key", "a", "z", "places")
+    around, _ = write_table(read.mapInArrow(windows, "key long, a long, z long, windows array<long>, starts array<int>").dropDuplicates(["key"]), "windows")
+    spread = around.select("key", "a", "z", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("key", "a", "z", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
+    both, _ = write_table(spread.groupBy("window").agg(*low).where(several).select("window", "first"), "shared-windows")
+    starts = sized_join(spread, both, "window").groupBy("key").agg(F.sort_array(F.collect_set("start")).alias("every"), F.sort_array(F.collect_set(F.when(F.col("first") < F.col("a"), F.col("start")))).alias("later"))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [pa.array([merged_spans(x.values.to_numpy()) for x in b.column(k)]) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["key", "shared", "removable"])
+
+    inside = starts.select("key", "every", "later").mapInArrow(spans, "key long, shared string, removable string")
+    copies = once.where("a <> z").select("key", F.col("a").alias("head"))
+    return copies.join(inside, "key", "full_outer")
+
+
 def repeated_text(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, paragraph, n_words, cluster_doc, cluster_paragraph, keep, shared``.
-
-    One row for every paragraph that is equal or similar to one of another document, or
-    shares a passage with one.  The cluster's first paragraph (by doc_id, then
-    paragraph) names it and is kept.  ``shared`` lists the first words of the 32-word
-    pieces that another document has too.  Paragraphs are numbered from 0 by line; those
-    of fewer than 25 words and null or empty texts have no rows; repetition inside one
-    doc_id alone is not reported; repeated rows give equal rows.  A row of null doc_id
-    counts as no other document.
+    """``doc_id, paragraph, n_words, cluster_doc, cluster_paragraph, keep, shared, removable``.
+
+    One row for every paragraph that is similar or equal to one of another document: the
+    cluster's first paragraph (by doc_id, then paragraph) names it and is kept.  Paragraphs
+    are numbered from 0 by line.  And one row of paragraph -1 for every document that
+    shares a passage of ``PASSAGE`` words with another, line breaks counting as blanks:
+    ``shared`` lists the spans of words that another document has too, ``removable`` those
+    that a document of smaller id has, as ``first-end`` with the end exclusive; a copy of
+    a whole text is clustered with the first of its documents and one span.
+
+    Null, empty and shorter texts have no rows; repetition inside one doc_id alone is not
+    reported; repeated rows give equal rows.  A row of null doc_id counts as no other
+    document.  Words are split at ASCII blanks, A-Z in lower case.
     """
     bands, per = tune_bands(similarity)
-    rows, _ = write_table(paragraphs(docs, bands, per), "paragraphs")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    every, _ = write_table(sketched(named, bands, per), "sketches")
+    rows, whole = every.where("paragraph >= 0"), every.where("paragraph < 0")
     roots = connected_components(paragraph_links(rows, similarity)).withColumnsRenamed({"node": "key"})
-    named = rows.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph")).alias("low"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-    clustered = named.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    by_key = rows.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph")).alias("low"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
+    clustered, _ = write_table(by_key.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "clustered")
     clusters = clustered.groupBy("root").agg(F.min("low").alias("head"), F.min("a").alias("a"), F.max("z").alias("z")).where("a <> z")
-    near = clustered.select("key", "root").join(clusters.select("root", "head"), "root").select("key", "head")
-    spots = rows.select("key", F.posexplode("pieces").alias("i", "piece"), F.col("doc_id").alias("d")).groupBy("piece").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a <> z").select("piece")
-    pieces = rows.where(F.size("pieces") > 0).groupBy("key").agg(F.first("pieces").alias("pieces"), F.first("places").alias("places"))
-    shared = pieces.select("key", F.explode(F.arrays_zip("pieces", "places")).alias("p")).select("key", F.col("p.pieces").alias("piece"), F.col("p.places").alias("place")).join(spots, "piece").groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("place")), ",").alias("shared"))
-    found = near.join(shared, "key", "full_outer")
-    out = rows.select("key", "doc_id", "paragraph", "n_words").join(found, "key")
-    head = F.coalesce("head", F.struct("doc_id", "paragraph"))
-    return out.select("doc_id", "paragraph", "n_words", head["doc_id"].alias("cluster_doc"), head["paragraph"].alias("cluster_paragraph"), (F.struct("doc_id", "paragraph") == head).alias("keep"), F.coalesce("shared", F.lit("")).alias("shared"))
+    near, _ = write_table(clustered.select("key", "root").join(clusters.select("root", "head"), "root").select("key", "head"), "near")
+    paragraphs = sized_join(rows.select("key", "doc_id", "paragraph", "n_words"), near, "key")
+    first = paragraphs.select("doc_id", "paragraph", "n_words", F.col("head.doc_id").alias("cluster_doc"), F.col("head.paragraph").alias("cluster_paragraph"), (F.struct("doc_id", "paragraph") == F.col("head")).alias("keep"), F.lit("").alias("shared"), F.lit("").alias("removable"))
+    passages, _ = write_table(repeated_passages(named, whole), "passages")
+    found = sized_join(whole.select("key", "doc_id", "paragraph", "n_words"), passages, "key")
+    all_ = F.concat(F.lit("0-"), F.col("n_words").cast("string"))
+    copy = F.col("head").isNotNull()
+    later = F.coalesce(F.col("doc_id") != F.col("head"), F.lit(False))
+    removable = F.when(later, all_).otherwise(F.coalesce("removable", F.lit("")))
+    second = found.select("doc_id", "paragraph", "n_words", F.coalesce("head", "doc_id").alias("cluster_doc"), F.lit(-1).alias("cluster_paragraph"), (~later).alias("keep"), F.when(copy, all_).otherwise(F.col("shared")).alias("shared"), removable.alias("removable"))
+    return first.union(second)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
