@@ -62,8 +62,9 @@ class Hasher:
         seen = self.seen
         if len(seen) > 500_000:
             seen.clear()
-        for w in set(words) - seen.keys():
-            seen[w] = xxhash.xxh64_intdigest(w, 3)
+        for w in words:
+            if w not in seen:
+                seen[w] = xxhash.xxh64_intdigest(w, 3)
         return np.array([seen[w] for w in words], dtype=np.uint64)
 
 
