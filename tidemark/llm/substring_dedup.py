@@ -140,7 +140,8 @@ def text_rows(group: list[bytes], hasher: Hasher, bands: int, rows: int) -> list
         for k, own in enumerate(lines):
             if len(own) >= MIN_WORDS:
                 grams = shingle_set(own)
-                out.append((i, k, len(own), xxhash.xxh64_intdigest(own.tobytes()), band_keys(grams, bands, rows).view(np.int64), grams.view(np.int64), none, none))
+                low = np.unique((grams & np.uint64(0x7FFFFFFF)).astype(np.int32))
+                out.append((i, k, len(own), xxhash.xxh64_intdigest(own.tobytes()), band_keys(grams, bands, rows).view(np.int64), low, none, none))
     if parts:
         runs = Runs(np.concatenate(parts))
         begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -157,7 +158,7 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array
 
 def sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``doc_id, k1, k2`` with what ``text_rows`` gives for each text."""
-    schema = "doc_id long, k1 long, k2 long, paragraph int, n_words int, key long, bands array<long>, shingles array<long>, pieces array<long>, places array<int>"
+    schema = "doc_id long, k1 long, k2 long, paragraph int, n_words int, key long, bands array<long>, shingles array<int>, pieces array<long>, places array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -166,7 +167,7 @@ def sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             if found:
                 owner, paragraph, n, key, band, shingles, pieces, places = zip(*found)
                 at = pa.array(owner)
-                arrays = [*(b.column(c).take(at) for c in range(3)), pa.array(paragraph, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(key, dtype=np.uint64).view(np.int64)), _lists(band), _lists(shingles), _lists(pieces), _lists(places, pa.int32())]
+                arrays = [*(b.column(c).take(at) for c in range(3)), pa.array(paragraph, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(key, dtype=np.uint64).view(np.int64)), _lists(band), _lists(shingles, pa.int32()), _lists(pieces), _lists(places, pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
     return docs.mapInArrow(run, schema)
@@ -258,11 +259,12 @@ def repeated_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
     one = F.min(F.struct("k1", "k2"))
     # equal texts are one, whose documents are a to z
     once, _ = write_table(rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), one.alias("at"), F.min_by(F.struct("pieces", "places"), F.struct("k1", "k2")).alias("p")), "texts")
-    low = [F.min("key").alias("k"), F.max("key").alias("m"), F.min("a").alias("first"), F.max("z").alias("last")]
-    several = "k <> m and first <> last"
-    spots, _ = write_table(once.select("key", "a", "z", F.explode("p.pieces").alias("piece")).groupBy("piece").agg(*low).where(several).select("piece"), "shared-pieces")
-    places = once.select("key", "at", "a", "z", F.explode(F.arrays_zip("p.pieces", "p.places")).alias("x")).select("key", "at", "a", "z", F.col("x.pieces").alias("piece"), F.col("x.places").alias("place"))
-    hits, _ = write_table(sized_join(places, spots, "piece", "left_semi").groupBy("key").agg(F.first("at").alias("at"), F.first("a").alias("a"), F.first("z").alias("z"), F.collect_list("place").alias("places")).select("key", "at.k1", "at.k2", "a", "z", "places"), "piece-hits")
+    # a piece of several texts; its windows tell whether those are of several documents
+    pieces = F.explode(F.array_distinct("p.pieces")).alias("piece")
+    spots, _ = write_table(once.select(pieces).groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece"), "shared-pieces")
+    places = once.select("key", F.explode(F.arrays_zip("p.pieces", "p.places")).alias("x")).select("key", F.col("x.pieces").alias("piece"), F.col("x.places").alias("place"))
+    hit = sized_join(places, spots, "piece", "left_semi").groupBy("key").agg(F.collect_list("place").alias("places"))
+    hits, _ = write_table(hit.join(once.select("key", "at.k1", "at.k2", "a", "z"), "key"), "piece-hits")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -277,10 +279,11 @@ def repeated_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), _lists(found), _lists(starts, pa.int32())], ["key", "a", "z", "windows", "starts"])
 
     read = sized_join(docs.select("k1", "k2", "text"), hits, ["k1", "k2"]).select("text", "key", "a", "z", "places")
-    around, _ = write_table(read.mapInArrow(windows, "key long, a long, z long, windows array<long>, starts array<int>").dropDuplicates(["key"]), "windows")
+    around, _ = write_table(read.mapInArrow(windows, "key long, a long, z long, windows array<long>, starts array<int>"), "windows")
     spread = around.select("key", "a", "z", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("key", "a", "z", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
-    both, _ = write_table(spread.groupBy("window").agg(*low).where(several).select("window", "first"), "shared-windows")
-    starts = sized_join(spread, both, "window").groupBy("key").agg(F.sort_array(F.collect_set("start")).alias("every"), F.sort_array(F.collect_set(F.when(F.col("first") < F.col("a"), F.col("start")))).alias("later"))
+    both, _ = write_table(spread.groupBy("window").agg(F.min("a").alias("first"), F.max("z").alias("last")).where("first <> last").select("window", "first"), "shared-windows")
+    # not broadcast even if short: it grows with the documents; Spark splits hot windows
+    starts = spread.select("window", "key", "a", "start").join(both, "window").groupBy("key").agg(F.sort_array(F.collect_set("start")).alias("every"), F.sort_array(F.collect_set(F.when(F.col("first") < F.col("a"), F.col("start")))).alias("later"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
