@@ -157,6 +157,17 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, room):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("room", [lines.BROADCAST_BYTES, 0])
+def test_lines_of_all_ascii_characters(spark, monkeypatch, room):
+    """Every ASCII character at both ends of a line, and the letters f, n, r, t and v."""
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", room)
+    ends = [chr(c) for c in range(1, 128) if chr(c) != "\n"]
+    kinds = ["\n".join(f"{c}foo {ord(c)} bar{c}" for c in ends), "\n".join(f" {c}oo\x0b{c}\t\x0c" for c in ends)]
+    docs = [kinds[k % 2] for k in range(24)] + [kinds[0].swapcase(), "oo bar", "f", "foo bar of"]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(docs))] == brute_lines(docs)
+
+
 def test_line_index_is_reversible(spark):
     docs = line_corpus()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")

@@ -28,6 +28,8 @@ SLOTS, MAX_KICKS = 4, 500
 #: Most keys of one shard on average, and most bytes of filters that are broadcast;
 #: beyond that, lines are looked up by a join.
 SHARD_KEYS, BROADCAST_BYTES = 50_000, 128 << 20
+#: What is stripped from the ends of a line.
+BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def line_key(line: bytes) -> bytes:
@@ -253,7 +255,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_documents:
     # More frequent keys than may be broadcast: look the lines up by a join on the key.
     rows = source.withColumn("row", F.monotonically_increasing_id())
     rows, _ = write_table(rows, "line-rows")
-    stripped = F.expr(r"btrim(line, ' \t\n\u000B\f\r')")
+    stripped = F.btrim(F.col("line"), F.lit(BLANKS))
     lower = F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     lines = rows.select("row", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "line")).withColumn("key_text", lower)
 
