@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup as lines
 from tidemark.llm import simhash
@@ -168,6 +169,15 @@ def test_lines_of_all_ascii_characters(spark, monkeypatch, room):
     assert [got[k] for k in range(len(docs))] == brute_lines(docs)
 
 
+def test_lines_that_a_given_index_never_saw(spark):
+    """A filter takes a few of 120,000 other lines wrongly; they stay all the same."""
+    common = spark.createDataFrame([(k, "\n".join(f"common {i}" for i in range(1500))) for k in range(10)], "doc_id long, text string")
+    other = spark.range(400).selectExpr("id as doc_id", "array_join(transform(sequence(0, 299), x -> concat('own ', id, ' ', x)), '\n') as text")
+    got = lines.dedup_lines(other, lines.LineIndex.build(common)).agg(F.sum("n_dropped"), F.sum("n_lines")).first()
+    assert tuple(got) == (0, 120_000)
+    assert lines.dedup_lines(common, lines.LineIndex.build(common)).agg(F.sum("n_dropped")).first()[0] == 15_000
+
+
 def test_line_index_is_reversible(spark):
     docs = line_corpus()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")

@@ -4,8 +4,8 @@ An exact reference-count table holds, for every line key, the number of document
 contain it; inserting documents adds to the counts and deleting them subtracts, so any
 state can be undone.  Sharded cuckoo filters hold the keys whose count has reached the
 limit and answer lookups inside the scan of the documents; the keys of the table that
-a filter takes wrongly are listed exactly beside it, so answers are exact for every
-key that the table has seen.
+a filter takes wrongly are listed exactly beside it, and so are those of other lines that
+are looked up, so answers are exact.
 """
 
 from __future__ import annotations
@@ -156,9 +156,10 @@ class LineIndex:
     def frequent(self) -> DataFrame:
         return self.refs.where(F.col("refs") >= self.min_documents).select("key")
 
-    def filters(self) -> tuple[list[CuckooFilter], set[bytes]] | None:
-        """Filters by shard and the keys they take wrongly; None if they are too large
-        to broadcast, which the exact count of frequent keys decides."""
+    def filters(self, docs: DataFrame | None = None) -> tuple[list[CuckooFilter], set[bytes]] | None:
+        """Filters by shard and the keys they take wrongly, of the table and of ``docs``
+        with lines that the table does not have; None if they are too large to broadcast,
+        which the exact count of frequent keys decides."""
         total = self.frequent().count()
         # 2.4 bytes a key at 85 % load, at most doubled by rounding up to a power of 2
         if total * 6 > BROADCAST_BYTES:
@@ -191,8 +192,11 @@ class LineIndex:
                 taken = probe(sent.value, keys) & (b.column(1).to_numpy(zero_copy_only=False) < limit)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(taken))], ["key"])
 
-        # about 8 * 2^-16 of the keys that the table holds; bounded like the filters
-        wrong = self.refs.select("key", "refs").mapInArrow(wrongly, "key binary").limit(BROADCAST_BYTES // 64 + 1).collect()
+        # about 8 * 2^-16 of the keys asked for; bounded like the filters
+        asked = self.refs.select("key", "refs")
+        if docs is not None:
+            asked = asked.union(count_keys(docs).join(self.refs.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("refs")))
+        wrong = asked.mapInArrow(wrongly, "key binary").limit(BROADCAST_BYTES // 64 + 1).collect()
         if len(wrong) > BROADCAST_BYTES // 64:
             return None
         return out, {bytes(r["key"]) for r in wrong}
@@ -236,11 +240,13 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_documents:
 
     A text is split at ``\\n``; null or empty text is one empty line, which is never
     frequent.  Kept lines stay as they are, joined by ``\\n``.  Every row is a document
-    of its own, so repeated rows count each.  ``index`` is the documents' own unless given.
+    of its own, so repeated rows count each.  ``index`` is the documents' own unless given;
+    a given one is exact for lines that it never saw, too.
     """
+    given = index is not None
     index = index or LineIndex.build(docs, min_documents)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = index.filters()
+    made = index.filters(docs if given else None)
     schema = "doc_id long, n_lines long, n_dropped long, kept string"
     if made is not None:
         sent = docs.sparkSession.sparkContext.broadcast(made)
