@@ -171,6 +171,35 @@ def test_toxicity_held_out(spark):
     assert (pos[:, None] > neg[None]).mean() > 0.95 and (neg >= 0.5).mean() < 0.02
 
 
+def test_toxicity_of_a_pair_alone(spark):
+    """The label is whether exactly one of two words is there: neither tells anything."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(2500):
+        a, b = rng.random(2) < 0.5
+        words = [f"w{i}" for i in rng.integers(0, 60, 12)] + ["first"] * int(a) + ["second"] * int(b)
+        rows.append((k, " ".join(words), int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = tox.toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).where("held_out").join(docs, "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.95
+
+
+def test_scores_by_definition(spark):
+    """The machine's score of whole texts, pair by pair."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    m = tox.train(docs, labels, 300)
+    for text in [r.text or "" for r in docs.select("text").limit(25).collect()]:
+        own = sorted({m.at[h] for w in tox.words(text.encode()) for h in tox.hashed(w) if h in m.at})
+        z = m.bias + sum(m.w[i] for i in own) + sum(float(m.v[i] @ m.v[j]) for i in own for j in own if i < j)
+        assert m.score(text.encode()) == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-9)
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(2, "same")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(r["count"] for r in tox.training_rows(docs, labels, 10).groupBy("toxic").count().collect()) == [1, 10]
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (None, "idiot", 0.1), (3, "x " * 50000, 0.1), (3, "x", 0.2)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, texts
+from tidemark.llm.common import chunks, drop_table, texts, write_table
 
 #: Training rows of each label, those of least hash; bounds the driver's work.
 SAMPLE_PER_LABEL = 6_000
@@ -24,6 +24,9 @@ SAMPLE_PER_LABEL = 6_000
 TERM_BITS, MIN_DOCUMENTS = 40, 4
 #: Least chi-squared of a model term against the label, and most terms of a model.
 MIN_CHI, MAX_TERMS = 6.0, 20_000
+#: Most frequent terms whose pairs are tested for an effect beyond those of their terms,
+#: and least chi-squared of a pair whose terms the model takes for it.
+PAIR_TERMS, MIN_PAIR_CHI = 512, 30.0
 #: Lengths in bytes of the beginnings of words that are terms.
 STEM_BYTES = (4, 5, 6, 7, 8)
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 12, 256, 0.1, 1e-3
@@ -81,9 +84,28 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def telling_pairs(terms: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which of the terms (columns of the 0/1 matrix ``terms``) make a telling pair.
+
+    A pair tells if the documents with both are toxic more or less often than the shares
+    of either term predict by adding up on the logit scale."""
+    x = terms.astype(np.float32)
+    y = labels.astype(np.float32)[:, None]
+    both, toxic = (x.T @ x).astype(float), (x.T @ (x * y)).astype(float)
+    n, pos = np.diag(both), np.diag(toxic)
+    logit = lambda a, k: np.log((a + 0.5) / (k - a + 0.5))
+    alone = logit(pos, n)
+    p = 1 / (1 + np.exp(-np.clip(alone[:, None] + alone[None, :] - logit(y.sum(), len(y)), -12, 12)))
+    chi = (toxic - both * p) ** 2 / np.maximum(both * p * (1 - p), 0.5)
+    # a pair of terms that always come together has no effect of its own
+    apart = both < 0.9 * np.minimum(n[:, None], n[None, :])
+    return ((chi >= MIN_PAIR_CHI) & (both >= MIN_DOCUMENTS) & apart).any(axis=1)
+
+
 def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
     """Fit to ``(label, distinct hashed terms)`` rows by Adagrad on the logistic loss,
-    rows of the rarer label weighted up to balance."""
+    rows of the rarer label weighted up to balance.  The terms are those that tell of the
+    label alone or in a pair."""
     labels = np.array([y for y, _ in rows], dtype=float)
     if not len(rows) or labels.min() == labels.max():
         rate = labels.mean() if len(rows) else 0.0
@@ -97,7 +119,14 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, seed: int = 7)
     share = labels.mean()
     chi = (pos - n * share) ** 2 / (n * share * (1 - share))
     chosen = np.flatnonzero((n >= MIN_DOCUMENTS) & (chi >= MIN_CHI))
-    chosen = np.sort(chosen[np.argsort(-chi[chosen], kind="stable")[:MAX_TERMS]])
+    chosen = chosen[np.argsort(-chi[chosen], kind="stable")[:MAX_TERMS]]
+    often = np.argsort(-n, kind="stable")[:PAIR_TERMS]
+    column = np.full(len(ids), -1)
+    column[often] = np.arange(len(often))
+    seen = np.zeros((len(rows), len(often)), dtype=bool)
+    own = column[where] >= 0
+    seen[owner[own], column[where][own]] = True
+    chosen = np.union1d(chosen, often[telling_pairs(seen, labels)])
     to = np.full(len(ids), -1)
     to[chosen] = np.arange(len(chosen))
     kept = to[where] >= 0
@@ -131,18 +160,23 @@ def fit(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, seed: int = 7)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """``(toxic, text)`` of at most ``per_label`` documents of each label, never held
-    out; an id labelled both ways is toxic."""
+    """``(toxic, text)`` of at most ``per_label`` different rows of each label, never held
+    out; an id labelled both ways is toxic.  Rows of equal id and text count once."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(per_label).union(known.where("toxic = 0").orderBy(*order).limit(per_label))
+    least = lambda rows, by: rows.where("toxic = 1").orderBy(*by).limit(per_label).union(rows.where("toxic = 0").orderBy(*by).limit(per_label))
+    sample, _ = write_table(least(known, order), "labelled")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    found = rows.join(F.broadcast(sample), "doc_id").withColumn("t", F.xxhash64("text"))
+    # an id may have many rows: the bound holds for rows, too
+    keys, _ = write_table(least(found.select("toxic", "doc_id", "t").distinct(), [F.xxhash64("doc_id", "t"), F.col("doc_id"), F.col("t")]), "training-keys")
+    return found.join(F.broadcast(keys), ["toxic", "doc_id", "t"]).dropDuplicates(["toxic", "doc_id", "t"]).select("toxic", "text")
 
 
 def telling_terms(sample: DataFrame) -> list[int]:
-    """At most ``MAX_TERMS`` hashed terms of the sample by chi-squared against the label,
-    counted by Spark: rare terms, which are most of them, do not reach the driver."""
+    """At most ``MAX_TERMS`` hashed terms of the sample by chi-squared against the label and
+    the ``PAIR_TERMS`` most frequent ones, which ``fit`` tests in pairs; counted by Spark:
+    rare terms, which are most of them, do not reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 1):
@@ -156,16 +190,19 @@ def telling_terms(sample: DataFrame) -> list[int]:
     if not rows or not 0 < toxic < rows:
         return []
     share = toxic / rows
-    counts = sample.mapInArrow(run, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    counts, path = write_table(sample.mapInArrow(run, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= MIN_DOCUMENTS), "term-counts")
     gap = F.col("pos") - F.col("n") * share
     chi = gap * gap / (F.col("n") * (share * (1 - share)))
-    best = counts.where(F.col("n") >= MIN_DOCUMENTS).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
-    return [r["term"] for r in best.select("term").collect()]
+    best = counts.withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
+    often = counts.orderBy(F.desc("n"), "term").limit(PAIR_TERMS)
+    out = {r["term"] for r in best.select("term").union(often.select("term")).collect()}
+    drop_table(sample.sparkSession, path)
+    return sorted(out)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> FactorizationMachine:
     """Model from the bounded sample; only the telling terms of its rows are collected."""
-    sample = training_rows(docs, labels, per_label)
+    sample, path = write_table(training_rows(docs, labels, per_label), "training")
     known = np.sort(np.array(telling_terms(sample), dtype=np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -175,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], ["toxic", "terms"])
 
     rows = sample.mapInArrow(run, "toxic long, terms binary").collect()
+    drop_table(docs.sparkSession, path)
     return fit(sorted(((r["toxic"], np.frombuffer(r["terms"], dtype=np.int64)) for r in rows), key=lambda x: (x[0], len(x[1]), x[1].tobytes())))
 
 
