@@ -223,12 +223,46 @@ def test_codewords_are_apart():
     assert (np.abs(code.sum(axis=0)) < 12).all()
 
 
+@pytest.mark.parametrize("text", ["a b", "  Lots\tof \n\n blank  ", "", " ", "x" * 40, "ab " * 30, "\u00c9t\u00e9 \u4f60\u597d"])
+@pytest.mark.parametrize("block", [1, 2, 7])
+def test_features_of_long_texts(monkeypatch, text, block):
+    """Texts cut into blocks have the features of whole ones."""
+    want = lid.ngram_features([text, "other"])
+    monkeypatch.setattr(lid, "BLOCK", block)
+    assert lid.ngram_features([text, "other"]) == pytest.approx(want)
+
+
+def brute_decode(model, text):
+    """Loss-weighted decoding by definition, a codeword and a bit at a time."""
+    margins = lid.ngram_features([text])[0] @ model.w + model.bias
+    cost = [sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(trust, margins, code)) for trust, code in zip(model.trust, model.code)]
+    share = [math.exp(min(cost) - c) for c in cost]
+    return model.languages[int(np.argmin(cost))], max(share) / sum(share)
+
+
+def test_decoding_by_definition(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model, texts = lid.train(docs, 40), [r.text or "" for r in docs.select("text").limit(30).collect()]
+    found, score, _ = model.predict(texts)
+    want = [brute_decode(model, t) for t in texts]
+    assert found == [w for w, _ in want] and score == pytest.approx([p for _, p in want], rel=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample allows 3 documents of each, with letters of their own."""
+    rows = [(k * 5 + d, f"l{k:03d}", " ".join(chr(0x4E00 + k * 5 + (d + i) % 5) for i in range(6))) for k in range(330) for d in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = lid.train(docs, 600, 700)
+    learned = {r.lang for r in docs.where(~tox.held_out(F.col("doc_id"), 4, 2)).select("lang").collect()}
+    assert set(model.languages) == learned and len(learned) > 300
+
+
 def test_language_of_odd_rows(spark):
     rows = [(k, "hello there my friend", "en") for k in range(20)] + [(k + 20, "guten tag mein freund", "de") for k in range(20)]
-    rows += [(100, None, "en"), (101, "", None), (102, "12 34 !", "en"), (None, "hello friend", "zz"), (103, "guten freund", None), (103, "guten freund", None)]
+    rows += [(100, None, "en"), (101, "", None), (102, "12 34 !", "en"), (104, "\u00bd \u00b2 \u2460 _ \u0301", "en"), (None, "hello friend", "zz"), (103, "guten freund", None), (103, "guten freund", None)]
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, lang_pred string")
     got = [(r.doc_id, r.lang_pred, r.score) for r in lid.identify(docs).collect()]
     by = dict((d, p) for d, p, _ in got)
-    assert len(got) == len(rows) and by[100] == by[101] == by[102] == "und" and by[None] == "en" and by[103] == "de"
+    assert len(got) == len(rows) and by[100] == by[101] == by[102] == by[104] == "und" and by[None] == "en" and by[103] == "de"
     assert {r.lang_pred for r in lid.identify(docs.where("lang is null")).collect()} == {"und"}
     assert lid.identify(docs.limit(0)).count() == 0

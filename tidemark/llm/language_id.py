@@ -7,57 +7,98 @@ least, each bit weighted by how well its classifier does on that language.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks
+from tidemark.llm.common import chunks, drop_table, sized_join, write_table
 from tidemark.llm.toxicity import held_out
 
-#: Training documents of each language, those of least hash, and most languages.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 600, 300
+#: Training documents of each language, those of least hash, and of all languages: with
+#: more languages each has fewer, at least one.
+SAMPLE_PER_LANGUAGE, SAMPLE = 600, 12_000
+#: Characters of a text that are folded and counted at a time.
+BLOCK = 1 << 16
 #: Hashed n-gram features, bits of the code at least, steps of the fit.
 FEATURES, MIN_BITS, STEPS = 4096, 15, 150
 #: A decision whose runner-up has more than this share of its score is ambiguous.
 AMBIGUOUS = 0.6
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
-def ngram_features(group: list[str]) -> np.ndarray:
-    """Rows of square-rooted shares of hashed character 1- to 3-grams, of unit length;
-    white space of any kind and length is one blank, and letters are in lower case."""
-    out = np.zeros((len(group), FEATURES), dtype=np.float32)
-    folded = [" " + " ".join(t.lower().split()) + " " for t in group]
-    sizes = np.array([len(t) for t in folded])
-    x = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(group), dtype=np.int64), sizes)
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode letter category (Lu, Ll, Lt, Lm, Lo)."""
+    return any(map(str.isalpha, text))
+
+
+def folded(text: str) -> Iterator[str]:
+    """The text in lower case between blanks, white space of any kind and length as one
+    blank, a bounded part of it at a time."""
+    begun = blank = False
+    yield " "
+    for s in range(0, len(text), BLOCK):
+        part = text[s : s + BLOCK].lower()
+        core = " ".join(part.split())
+        lead = " " if begun and core and (blank or part[0].isspace()) else ""
+        blank, begun = part[-1].isspace() if core else True, begun or bool(core)
+        yield lead + core
+    yield " "
+
+
+def _counts(parts: list[str], owner: np.ndarray, before: np.ndarray, rows: int) -> np.ndarray:
+    """Counts by row of the hashed 1- to 3-grams that end in the ``parts``, of which the
+    first ``before`` characters are of the part before."""
+    sizes = np.array([len(t) for t in parts])
+    x = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    part = np.repeat(np.arange(len(parts), dtype=np.int64), sizes)
+    place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros(rows * FEATURES)
     h = x * np.uint32(2654435761)
     for n in (1, 2, 3):
         if n > 1:
             h = h[:-1] * np.uint32(40503) ^ (x[n - 1 :] * np.uint32(2246822519) + np.uint32(n))
-        same = owner[: len(h)] == owner[n - 1 :]
+        own = part[n - 1 :]
+        same = (part[: len(h)] == own) & (place[n - 1 :] >= before[own])
         bucket = ((h ^ h >> np.uint32(15)) * np.uint32(2654435761) >> np.uint32(20)).astype(np.int64)
-        out += np.bincount((owner[: len(h)] * FEATURES + bucket)[same], minlength=len(group) * FEATURES).reshape(len(group), FEATURES)
+        out += np.bincount((owner[own] * FEATURES + bucket)[same], minlength=len(out))
+    return out.reshape(rows, FEATURES)
+
+
+def ngram_features(group: list[str]) -> np.ndarray:
+    """Rows of square-rooted shares of hashed character 1- to 3-grams of the ``folded``
+    texts, of unit length."""
+    short = [i for i, t in enumerate(group) if len(t) <= BLOCK]
+    out = np.zeros((len(group), FEATURES), dtype=np.float32)
+    if short:
+        out[short] = _counts(["".join(folded(group[i])) for i in short], np.arange(len(short)), np.zeros(len(short), np.int64), len(short))
+    for i in set(range(len(group))) - set(short):
+        total, tail = np.zeros((1, FEATURES)), ""
+        for part in folded(group[i]):
+            if part:
+                total += _counts([tail + part], np.zeros(1, np.int64), np.array([len(tail)]), 1)
+                tail = (tail + part)[-2:]
+        out[i] = total[0]
     np.sqrt(out, out=out)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.maximum(norm, 1e-9)
 
 
 def codewords(languages: int, seed: int = 5) -> np.ndarray:
-    """``languages x bits`` of +-1: of many random codes without constant bits, the one
-    whose closest codewords are furthest apart."""
+    """``languages x bits`` of +-1: of many random codes without constant bits (fewer for
+    many languages, as the work grows with their square), the one whose closest codewords
+    are furthest apart."""
     bits = max(MIN_BITS, int(np.ceil(10 * np.log2(max(languages, 2)))))
     rng = np.random.default_rng(seed)
     best, most = None, (-1.0, -1.0)
-    for _ in range(200):
-        code = rng.choice([-1, 1], (languages, bits))
+    for _ in range(max(1, min(200, 8_000_000 // languages**2))):
+        code = rng.choice(np.array([-1, 1], dtype=np.int8), (languages, bits)).astype(np.float32)
         for b in np.flatnonzero(np.abs(code.sum(axis=0)) == languages):
             code[rng.integers(languages), b] *= -1
+        if best is None and languages > 2000:
+            return code
         apart = (bits - code @ code.T) / 2
         np.fill_diagonal(apart, bits)
         if (apart.min(), apart.mean()) > most:
@@ -74,8 +115,8 @@ class CodeClassifier:
     def predict(self, group: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores in 0..1 and whether each decision is ambiguous."""
         margins = ngram_features(group) @ self.w + self.bias
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None, :, :])
-        cost = (loss * self.trust[None]).sum(axis=2)
+        on, off = (self.trust * (self.code > 0)).T, (self.trust * (self.code < 0)).T
+        cost = np.logaddexp(0, -margins) @ on + np.logaddexp(0, margins) @ off
         share = np.exp(-(cost - cost.min(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         best = share.argmax(axis=1)
@@ -84,14 +125,16 @@ class CodeClassifier:
         return [self.languages[i] for i in best], score, second > AMBIGUOUS * score
 
 
-def fit(rows: list[tuple[str, str]]) -> CodeClassifier | None:
-    """Fit to ``(language, text)`` rows; None without any.  Every bit's classifier takes
+def fit(rows: Iterable[tuple[str, np.ndarray]]) -> CodeClassifier | None:
+    """Fit to ``(language, features)`` rows; None without any.  Every bit's classifier takes
     full gradient steps (Nesterov) with rows weighted to balance the languages."""
+    rows = list(rows)
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
-    y = np.array([languages.index(lang) for lang, _ in rows])
-    x = np.concatenate([ngram_features([t for _, t in rows[s : s + 64]]) for s in range(0, len(rows), 64)])
+    number = {lang: k for k, lang in enumerate(languages)}
+    y = np.array([number[lang] for lang, _ in rows])
+    x = np.stack([f for _, f in rows])
     if len(languages) == 1:
         return CodeClassifier(languages, np.ones((1, 1)), np.ones((1, 1)), np.zeros((FEATURES, 1), np.float32), np.ones(1))
     code = codewords(len(languages))
@@ -110,20 +153,32 @@ def fit(rows: list[tuple[str, str]]) -> CodeClassifier | None:
     return CodeClassifier(languages, code, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9) * code.shape[1], w, bias)
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> CodeClassifier | None:
-    """Model from at most ``per_language`` documents of each of the ``MAX_LANGUAGES``
-    most frequent languages, held-out documents never among them."""
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, sample: int = SAMPLE) -> CodeClassifier | None:
+    """Model from at most ``per_language`` documents of each language, at most ``sample``
+    in all (one of each if there are more languages), held-out documents never among them.
+    Every language with text is learned.  Workers count the n-grams; a document reaches
+    the driver as at most ``FEATURES`` numbers."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2) & (F.length("text") > 0))
-    common = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not common:
-        return None
-    hashed = known.where(F.col("lang").isin(common)).select("lang", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t")).alias("key"))
-    # the least keys of each language, kept sorted and bounded map-side by a sketch of hashes
+    hashed = known.select("lang", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t")).alias("key"))
     share = hashed.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = hashed.join(F.broadcast(share), "lang").where(F.col("key.h") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")))
-    least = picked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set("key")), 1, per_language).alias("keys")).select("lang", F.explode("keys").alias("key")).select("lang", "key.doc_id", F.col("key.t").alias("t"))
-    rows = known.withColumn("t", F.xxhash64("text")).join(F.broadcast(least), ["lang", "doc_id", "t"]).select("lang", "text")
-    return fit(sorted((r["lang"], r["text"]) for r in rows.toLocalIterator()))
+    share, path = write_table(share, "languages")
+    each = max(1, min(per_language, sample // max(1, share.count())))
+    # about twice as many as needed by hash, then the least keys; all of a small language
+    few = F.col("n") <= 4 * each
+    picked = sized_join(hashed, share, "lang").where(few | (F.col("key.h") <= F.lit(-(2.0**63)) + F.lit(2.0**64) * F.lit(2.0 * each + 20) / F.col("n")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    least = picked.distinct().withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "key.doc_id", F.col("key.t").alias("t"))
+    rows = sized_join(known.withColumn("t", F.xxhash64("text")), write_table(least, "language-sample")[0], ["lang", "doc_id", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, 3):
+            x = ngram_features(b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "doc_id", "t", "x"])
+
+    found = rows.select("lang", "doc_id", "t", "text").mapInArrow(run, "lang string, doc_id long, t long, x binary").groupBy("lang", "doc_id", "t").agg(F.first("x").alias("x"))
+    held = sorted(((r["lang"], r["doc_id"], r["t"], bytes(r["x"])) for r in found.toLocalIterator()), key=lambda r: r[:3])
+    drop_table(docs.sparkSession, path)
+    return fit((lang, np.frombuffer(x, dtype=np.float32)) for lang, _, _, x in held)
 
 
 def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -139,7 +194,7 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFr
         model = sent.value
         for b in chunks(batches, 1):
             group = b.column(1).to_pylist()
-            known = [i for i, t in enumerate(group) if t and model is not None and LETTER.search(t)]
+            known = [i for i, t in enumerate(group) if t and model is not None and has_letter(t)]
             lang, score, unsure = [UNDETERMINED] * len(group), np.zeros(len(group)), np.zeros(len(group), dtype=bool)
             for s in range(0, len(known), 256):
                 own = known[s : s + 256]
