@@ -46,6 +46,35 @@ def test_with_next_of_odd_rows(spark):
     assert merkle.edit_report(docs.limit(0)).count() == 0
 
 
+def test_buckets_of_skewed_ids(spark):
+    """Crowded, far, repeated and null ids: no bucket is much larger than asked for."""
+    ids = [*range(2000), 1 << 60, -(1 << 62), (1 << 63) - 1, -(1 << 63)] + [777] * 1000 + [None] * 600
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    placed = merkle.bucketed(df.withColumn("h", F.xxhash64("text")), 50)
+    assert placed.groupBy("bucket").count().agg(F.max("count")).first()[0] < 250
+    rows = placed.collect()
+    order = sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    assert [r.bucket for r in order] == sorted((r.bucket for r in rows), reverse=True)
+    want = {r.text: n.text for r, n in zip(order, order[1:] + order[:1])}
+    assert {r.text: r.next_text for r in merkle.with_next(df, 50).collect()} == want
+
+
+def test_likeness_is_that_of_the_leaves(spark):
+    texts = [("x" * 50, "x" * 34 + "y" * 16), ("", ""), ("a", "b"), ("你好世界的人" * 9, "你好世界的人" * 6 + "再见" * 9), ("same. text", "same. text"), ("привет мира и всем " * 5, "привет мира и всем " * 3 + "конец дела " * 4)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(texts)], "k int, a string, b string")
+    trees = df.select("k", "a", merkle.tree(F.col("a")).alias("s"), merkle.tree(F.col("b")).alias("t"))
+    rows = {r.k: r for r in trees.select("k", "a", "s", merkle.leaf_set(F.col("s")).alias("x"), merkle.leaf_set(F.col("t")).alias("y"), merkle.likeness(merkle.leaf_set(F.col("s")), merkle.leaf_set(F.col("t"))).alias("near"), merkle.root(F.col("s")).alias("root")).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in rows.values():
+        both = 2 * len(set(r.x) & set(r.y)) / (len(r.x) + len(r.y)) if r.x or r.y else 1.0
+        assert r.near == pytest.approx(both)
+        for section in r.s:  # every node is the hash of its children
+            assert section.digest == sha("".join(p.digest for p in section.paragraphs))
+            assert all(p.digest == sha("".join(p.leaves)) for p in section.paragraphs)
+        assert r.root == sha("".join(s.digest for s in r.s))
+    assert 0 < rows[0].near < 1 and rows[1].near == rows[4].near == 1 and rows[2].near == 0 and 0 < rows[3].near < 1 and 0 < rows[5].near < 1
+
+
 def test_differing_branches_locate_edits(spark):
     old = "\n".join(f"{'ABCXYZ'[k % 6]} paragraph {k} of it." for k in range(30))
     new = old.replace("paragraph 17 of", "paragraph seventeen of").replace("X paragraph 3 ", "inserted\nX paragraph 3 ")

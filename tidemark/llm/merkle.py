@@ -1,10 +1,10 @@
-"""Document fingerprints: Merkle trees over sections and paragraphs.
+"""Document fingerprints: Merkle trees over sections, paragraphs and phrases.
 
-A text is cut into sections, these into paragraphs, and every node is a SHA-256 over its
-children's digests, so equal roots mean equal texts and a walk down differing branches
-finds the paragraphs that differ.  Section starts are chosen by content, not by count,
-so an insertion changes the nodes around it and leaves later branches alone.  Below the
-paragraphs, hashes of phrases measure how much two trees share.
+A text is cut into sections, these into paragraphs and these into phrases, the leaves;
+every node above is a SHA-256 over its children's digests, so equal roots mean equal texts
+and a walk down differing branches finds the paragraphs that differ.  Sections and phrases
+start where the content says, not by count, so an insertion changes the nodes around it and
+leaves later branches alone.  The likeness of two trees is that of their sets of leaves.
 
 Everything here is DataFrame and SQL functions.
 """
@@ -14,53 +14,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS
-
 #: A section starts at a line that is empty or begins with ``#`` or one of A to F.
 SECTION = r"\n(?=[\n#A-F])"
-#: A phrase ends at a line end, or at a blank after punctuation or the letter e.
-PHRASE = r"(?<=[.,;:!?e]\x20)|\n"
+#: A phrase ends at a blank after punctuation or one of these frequent letters (Latin,
+#: Cyrillic, Greek, Arabic, Hebrew, Devanagari, Hangul), or after one of the frequent
+#: characters or marks of scripts without blanks; at the latest after so many characters.
+BEFORE_BLANK, WITHOUT_BLANK, LONGEST = ".,;:!?eаиςαنةהםाे다는", "的一是不了のにはをาเ。、，？！", 24
+PHRASE = rf"(?s).{{1,{LONGEST}}}?(?:(?<=[{BEFORE_BLANK}]\x20)|(?<=[{WITHOUT_BLANK}])|$)|.{{{LONGEST}}}"
 #: Documents of one bucket of ids, on average; neighbours are found inside buckets.
 BUCKET_ROWS = 2_000
+#: Quantiles of the ids that buckets are cut at, and parts of a quantile's range, at most.
+QUANTILES, PARTS = 4_096, 16
 
 
 def tree(text: Column) -> Column:
-    """``struct<sections: array<struct<digest, paragraphs>>, phrases>`` of a text.
+    """``array<struct<digest, paragraphs: array<struct<digest, leaves>>>>`` of a text: its
+    sections.  A leaf is a phrase's SHA-256.
 
-    Null is the empty text, which is one section with one empty paragraph.
+    Null is the empty text, which is one section with one empty paragraph without leaves.
     """
-    whole = F.coalesce(text, F.lit(""))
-    paragraphs = F.transform(F.split(whole, SECTION, -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)))
-    sections = F.transform(paragraphs, lambda ps: F.struct(F.sha2(F.array_join(ps, ""), 256).alias("digest"), ps.alias("paragraphs")))
-    phrases = F.array_distinct(F.transform(F.split(whole, PHRASE, -1), lambda p: F.xxhash64(p)))
-    return F.struct(sections.alias("sections"), phrases.alias("phrases"))
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PHRASE), 0), lambda x: F.sha2(x, 256))
+    parent = lambda children, name: F.struct(F.sha2(F.array_join(children if name == "leaves" else F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"), children.alias(name))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), SECTION, -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: parent(leaves(p), "leaves")))
+    return F.transform(lines, lambda ps: parent(ps, "paragraphs"))
 
 
 def root(t: Column) -> Column:
     """Root digest of a tree, 64 hex digits: the document's fingerprint."""
-    return F.sha2(F.array_join(F.transform(t["sections"], lambda s: s["digest"]), ""), 256)
+    return F.sha2(F.array_join(F.transform(t, lambda s: s["digest"]), ""), 256)
+
+
+def leaf_set(t: Column) -> Column:
+    """Distinct leaves of a tree."""
+    return F.array_distinct(F.flatten(F.flatten(F.transform(t, lambda s: F.transform(s["paragraphs"], lambda p: p["leaves"])))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the distinct phrases of two trees that both have: 0 to 1, 1 for equal."""
-    both = F.size(F.array_intersect(a["phrases"], b["phrases"]))
-    return 2.0 * both / (F.size(a["phrases"]) + F.size(b["phrases"]))
+    """Share of two sets of leaves that both have: 0 to 1, 1 for equal or both empty."""
+    both, all_ = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    return F.when(all_ == 0, 1.0).otherwise(2.0 * both / all_)
 
 
 def changed_sections(old: Column, new: Column) -> Column:
     """Numbers from 0 of the sections of ``new`` whose digests ``old`` does not have."""
-    known = F.transform(old["sections"], lambda s: s["digest"])
-    lost = F.array_except(F.transform(new["sections"], lambda s: s["digest"]), known)
-    at = F.transform(new["sections"], lambda s, i: F.when(F.array_contains(lost, s["digest"]), i))
+    known = F.transform(old, lambda s: s["digest"])
+    lost = F.array_except(F.transform(new, lambda s: s["digest"]), known)
+    at = F.transform(new, lambda s, i: F.when(F.array_contains(lost, s["digest"]), i))
     return F.filter(at, lambda i: i.isNotNull())
 
 
 def changed_paragraphs(old: Column, new: Column) -> Column:
     """Numbers from 0 of the paragraphs of ``new`` that ``old`` does not have, looked for
     under differing sections only."""
-    known = F.transform(old["sections"], lambda s: s["digest"])
-    flat = lambda t: F.flatten(F.transform(t["sections"], lambda s: s["paragraphs"]))
-    differing = F.flatten(F.transform(F.filter(new["sections"], lambda s: ~F.array_contains(known, s["digest"])), lambda s: s["paragraphs"]))
+    known = F.transform(old, lambda s: s["digest"])
+    flat = lambda t: F.flatten(F.transform(t, lambda s: F.transform(s["paragraphs"], lambda p: p["digest"])))
+    differing = flat(F.filter(new, lambda s: ~F.array_contains(known, s["digest"])))
     lost = F.array_except(differing, flat(old))
     at = F.transform(flat(new), lambda p, i: F.when(F.array_contains(lost, p), i))
     return F.filter(at, lambda i: i.isNotNull())
@@ -69,7 +77,39 @@ def changed_paragraphs(old: Column, new: Column) -> Column:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, n_sections, n_paragraphs`` of every row."""
     trees = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tree(F.col("text").cast("string")).alias("tree"))
-    return trees.select("doc_id", root(F.col("tree")).alias("fingerprint"), F.size("tree.sections").alias("n_sections"), F.aggregate("tree.sections", F.lit(0), lambda n, s: n + F.size(s["paragraphs"])).alias("n_paragraphs"))
+    return trees.select("doc_id", root(F.col("tree")).alias("fingerprint"), F.size("tree").alias("n_sections"), F.aggregate("tree", F.lit(0), lambda n, s: n + F.size(s["paragraphs"])).alias("n_paragraphs"))
+
+
+def bucketed(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``rows(doc_id, h, ...)`` with ``bucket``: numbers that rise with the id, nulls first,
+    and among rows of one id fall with the hash ``h``.
+
+    Buckets are cut at quantiles of the ids, and a quantile's range into equal parts, so
+    ids far apart or crowded do not matter; an id that fills several quantiles is cut by
+    ``h``, and so are null ids.  At most ``QUANTILES`` bounds reach the driver.
+    """
+    n, known = rows.agg(F.count("*"), F.count("doc_id")).first()
+    cuts = max(1, min(QUANTILES, -(-known // bucket_rows)))
+    parts = max(1, min(PARTS, -(-known // (cuts * bucket_rows))))
+    found = rows.agg(F.percentile_approx("doc_id", [k / cuts for k in range(cuts + 1)], 10 * QUANTILES)).first()[0] if known else None
+    bounds = sorted(set(found or [0]))
+    times = [(found or [0]).count(b) for b in bounds]
+    # two steps of a search: the block of bounds, then the bound inside the block
+    block = max(1, int(len(bounds) ** 0.5))
+    heads, all_ = F.array(*[F.lit(b) for b in bounds[::block]]), F.array(*[F.lit(b) for b in bounds])
+    last = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+    start = F.greatest(last(heads) - 1, F.lit(0)) * block
+    at = F.greatest(start + last(F.slice(all_, start + 1, block)) - 1, F.lit(0))
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    low, high = F.get(all_, at), F.get(all_, at + 1)
+    real = lambda x: x.cast("double")
+    within = F.coalesce((real(F.col("doc_id")) - real(low)) / (real(high) - real(low)), F.lit(0.0))
+    # rows of a bound's own id are cut by h after the part of the range above it
+    fold = F.get(F.array(*[F.lit(t) for t in times]), at)
+    own = F.when((F.col("doc_id") == low) & (fold > 1), fold - 1 - F.floor(share * fold).cast("int")).otherwise(fold + F.floor(within * parts).cast("int"))
+    width = max(times) + parts + 1
+    none = -1 - F.floor(share * max(1, min(QUANTILES * PARTS, -(-(n - known) // bucket_rows)))).cast("long")
+    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), none).otherwise(at.cast("long") * width + own))
 
 
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -77,22 +117,17 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     descending doc_id, the first following the last.
 
     Rows of one id, and those of null id, which come last, go by a hash of their text.
-    The ids are cut into equal ranges; the first row of each range is copied to the end
-    of the one before, so that one window inside ranges sees every neighbour and the
-    texts are shuffled once.
+    The first row of each bucket is copied to the end of the one before, so that one window
+    inside buckets sees every neighbour and the texts are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    ranges = max(1, -(-n // bucket_rows))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    placed = rows.withColumn("bucket", bucket)
-    # the first row of each range, and the range before it (the last one, for the first)
-    tops = placed.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("minus"), "h")).alias("top"))
+    placed = bucketed(rows, bucket_rows)
+    # the first row of each bucket, and the bucket before it (the last one, for the first);
+    # at most QUANTILES * (PARTS + 1) buckets and those of an id or null id cut by its hash
+    tops = placed.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("minus"), "h")).alias("top"))
     order = Window.orderBy(F.desc("bucket"))
-    chain = tops.select((-F.col("top.minus")).alias("top_id"), F.col("top.h").alias("top_h"), F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy(F.lit(1)))).alias("before"))
-    small = F.broadcast(chain) if ranges <= BROADCAST_ROWS else chain
-    linked = placed.join(small, placed["doc_id"].eqNullSafe(F.col("top_id")) & (placed["h"] == F.col("top_h")), "left")
+    chain = tops.select(F.bitwise_not("top.minus").alias("top_id"), F.col("top.h").alias("top_h"), F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(Window.partitionBy(F.lit(1)))).alias("before"))
+    linked = placed.join(F.broadcast(chain), placed["doc_id"].eqNullSafe(F.col("top_id")) & (placed["h"] == F.col("top_h")), "left")
     own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("copy"))
     copied = F.struct(F.col("before").alias("at"), F.lit(True).alias("copy"))
     spread = linked.select("doc_id", "text", "h", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copied))).alias("p")).select("doc_id", "text", "h", "p.at", "p.copy")
@@ -104,12 +139,12 @@ def edit_report(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text (the last third
     replaced by the beginning of the next document) and their likenesses."""
     pairs = with_next(docs)
-    third = F.floor(F.length("text") / 3).cast("int")
+    third = F.expr("cast(floor(length(text) / 3) as int)")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(length(text) / 3) as int))"))
     texts = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"), third.alias("replaced"))
-    trees = texts.select("doc_id", "n_chars", "replaced", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), tree(F.col("next_text")).alias("c"))
+    trees = texts.select("doc_id", "n_chars", "replaced", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), leaf_set(tree(F.col("next_text"))).alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return trees.select("doc_id", "n_chars", "edited_sha256", root(a).alias("fingerprint"), root(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), F.size("a.sections").alias("n_sections"), F.size(changed_sections(a, b)).alias("n_changed_sections"), F.size(changed_paragraphs(a, b)).alias("n_changed_paragraphs"))
+    return trees.select("doc_id", "n_chars", "edited_sha256", root(a).alias("fingerprint"), root(b).alias("edited_fingerprint"), likeness(leaf_set(a), leaf_set(b)).alias("near_edited"), likeness(leaf_set(a), c).alias("near_next"), F.size(a).alias("n_sections"), F.size(changed_sections(a, b)).alias("n_changed_sections"), F.size(changed_paragraphs(a, b)).alias("n_changed_paragraphs"))
 
 
 def op3_document_fingerprints(spark, sf_dir: str) -> DataFrame:
