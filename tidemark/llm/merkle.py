@@ -19,8 +19,9 @@ SECTION = r"\n(?=[\n#A-F])"
 #: A phrase ends at a blank after punctuation or one of these frequent letters (Latin,
 #: Cyrillic, Greek, Arabic, Hebrew, Devanagari, Hangul), or after one of the frequent
 #: characters or marks of scripts without blanks; at the latest after so many characters.
-BEFORE_BLANK, WITHOUT_BLANK, LONGEST = ".,;:!?eаиςαنةהםाे다는", "的一是不了のにはをาเ。、，？！", 24
-PHRASE = rf"(?s).{{1,{LONGEST}}}?(?:(?<=[{BEFORE_BLANK}]\x20)|(?<=[{WITHOUT_BLANK}])|$)|.{{{LONGEST}}}"
+#: What is cheap to test comes first.
+BEFORE_BLANK, WITHOUT_BLANK, LONGEST = ".,;:!?eаиςαنةהםाे다는", "的一是不了のにはをาเ。、，？！", 32
+PHRASE = rf"(?s).{{1,{LONGEST}}}?(?:(?<=\x20)(?<=[{BEFORE_BLANK}]\x20)|(?<=[^\x00-\x7F])(?<=[{WITHOUT_BLANK}])|$)|.{{{LONGEST}}}"
 #: Documents of one bucket of ids, on average; neighbours are found inside buckets.
 BUCKET_ROWS = 2_000
 #: Quantiles of the ids that buckets are cut at, and parts of a quantile's range, at most.
@@ -29,14 +30,16 @@ QUANTILES, PARTS = 4_096, 16
 
 def tree(text: Column) -> Column:
     """``array<struct<digest, paragraphs: array<struct<digest, leaves>>>>`` of a text: its
-    sections.  A leaf is a phrase's SHA-256.
+    sections.  A leaf is a phrase's XXH64; a paragraph's digest is the SHA-256 of its text
+    and its leaves, a section's that of its paragraphs' digests.
 
     Null is the empty text, which is one section with one empty paragraph without leaves.
     """
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PHRASE), 0), lambda x: F.sha2(x, 256))
-    parent = lambda children, name: F.struct(F.sha2(F.array_join(children if name == "leaves" else F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"), children.alias(name))
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), SECTION, -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: parent(leaves(p), "leaves")))
-    return F.transform(lines, lambda ps: parent(ps, "paragraphs"))
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PHRASE), 0), lambda x: F.xxhash64(x))
+    sealed = lambda p, xs: F.struct(F.sha2(F.concat(p, F.lit("\n"), F.xxhash64(xs).cast("string")), 256).alias("digest"), xs.alias("leaves"))
+    paragraph = lambda p: F.transform(F.array(leaves(p)), lambda xs: sealed(p, xs))[0]
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), SECTION, -1), lambda s: F.transform(F.split(s, "\n", -1), paragraph))
+    return F.transform(lines, lambda ps: F.struct(F.sha2(F.array_join(F.transform(ps, lambda p: p["digest"]), ""), 256).alias("digest"), ps.alias("paragraphs")))
 
 
 def root(t: Column) -> Column:
@@ -139,12 +142,12 @@ def edit_report(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text (the last third
     replaced by the beginning of the next document) and their likenesses."""
     pairs = with_next(docs)
-    third = F.expr("cast(floor(length(text) / 3) as int)")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(length(text) / 3) as int))"))
-    texts = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"), third.alias("replaced"))
-    trees = texts.select("doc_id", "n_chars", "replaced", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), leaf_set(tree(F.col("next_text"))).alias("c"))
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return trees.select("doc_id", "n_chars", "edited_sha256", root(a).alias("fingerprint"), root(b).alias("edited_fingerprint"), likeness(leaf_set(a), leaf_set(b)).alias("near_edited"), likeness(leaf_set(a), c).alias("near_next"), F.size(a).alias("n_sections"), F.size(changed_sections(a, b)).alias("n_changed_sections"), F.size(changed_paragraphs(a, b)).alias("n_changed_paragraphs"))
+    texts = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    trees = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), leaf_set(tree(F.col("next_text"))).alias("z"))
+    a, b, x = F.col("a"), F.col("b"), F.col("x")
+    sets = trees.select("*", leaf_set(a).alias("x"), leaf_set(b).alias("y"))
+    return sets.select("doc_id", "n_chars", "edited_sha256", root(a).alias("fingerprint"), root(b).alias("edited_fingerprint"), likeness(x, F.col("y")).alias("near_edited"), likeness(x, F.col("z")).alias("near_next"), F.size(a).alias("n_sections"), F.size(changed_sections(a, b)).alias("n_changed_sections"), F.size(changed_paragraphs(a, b)).alias("n_changed_paragraphs"))
 
 
 def op3_document_fingerprints(spark, sf_dir: str) -> DataFrame:
