@@ -1,6 +1,7 @@
 import os
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -9,9 +10,16 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def plain(v):
+    v = v.item() if hasattr(v, "item") else v
+    if not isinstance(v, (list, tuple, dict, set)) and pd.isna(v):
+        return None
+    return round(float(v), 5) if isinstance(v, float) else str(v)
+
+
 def canonical(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v) for v in map(lambda x: x.item() if hasattr(x, "item") else x, r)) for r in frame.itertuples(index=False)), key=str)
+    return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")
