@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import Typed
 from tidemark.functions.hashing import bucket, fnv1a32
 from tidemark.plans import tuning
 from tidemark.queries import query
@@ -36,24 +37,45 @@ def experiment_assign(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), name.alias("experiment"), variant.alias("variant"))
 
 
+LAYERED = {"experiments": {
+    "alpha": {"recommender": "home", "status": "running", "traffic": 0.4, "audience": {"when": "$user.segment == 'BUILDING'"}, "variants": {"control": {"share": 0.3}, "x": {"share": 0.3}, "y": {"share": 0.3}}},
+    "beta": {"recommender": "home", "status": "running", "traffic": 0.4, "variants": {"control": {"share": 0.5}, "x": {"share": 0.5}}},
+    "gamma": {"recommender": "home", "status": "running", "layer": "later", "unit": "request", "traffic": 0.5, "variants": {"control": {"share": 0.2}, "x": {"share": 0.8}}},
+    "delta": {"recommender": "home", "status": "running", "layer": "early", "unit": "session", "variants": {"control": {"share": 1}}},
+    "other": {"recommender": "top", "status": "running", "layer": "aaa", "variants": {"control": {"share": 1}}},
+}}
+
+
+@query("experiment_layers", f"""WITH b AS (SELECT c_custkey AS user_id, c_mktsegment AS segment, {SQL_FNV.format(s="'layer:default' || chr(0) || c_name")} % 10000 AS l, {SQL_FNV.format(s="'exp:alpha' || chr(0) || c_name")} % 10000 AS a, {SQL_FNV.format(s="'exp:beta' || chr(0) || c_name")} % 10000 AS e, {SQL_FNV.format(s="'layer:later' || chr(0) || ('r' || c_custkey)")} % 10000 AS r, {SQL_FNV.format(s="'exp:gamma' || chr(0) || ('r' || c_custkey)")} % 10000 AS g FROM customer),
+x AS (SELECT *, CASE WHEN l < 4000 AND segment = 'BUILDING' THEN 'alpha' WHEN l >= 4000 AND l < 8000 THEN 'beta' WHEN r < 5000 THEN 'gamma' END AS experiment FROM b)
+SELECT user_id, experiment, CASE experiment WHEN 'alpha' THEN CASE WHEN a < 3000 THEN 'control' WHEN a < 6000 THEN 'x' ELSE 'y' END WHEN 'beta' THEN CASE WHEN e < 5000 THEN 'control' ELSE 'x' END WHEN 'gamma' THEN CASE WHEN g < 2000 THEN 'control' ELSE 'x' END END AS variant FROM x""")
+def experiment_layers(spark, d):
+    """Layers by name, experiments without one in the layer "default", an audience, a unit
+    that is the request, one that cannot be assigned, and shares that do not add up to 1."""
+    name, variant = tuning.assignment(LAYERED, "home", F.col("c_name"), F.concat(F.lit("r"), F.col("c_custkey").cast("string")), {"$user.segment": Typed(F.col("c_mktsegment"), "string")})
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), name.alias("experiment"), variant.alias("variant"))
+
+
 @query("fallback_split", f"""{SQL_EVENTS}, p AS (SELECT usr, count(DISTINCT target) AS n FROM ev WHERE type = 'purchase' GROUP BY usr) SELECT c_custkey AS user_id, CASE WHEN coalesce(n, 0) < 30 THEN 'popular' ELSE 'home' END AS served FROM customer LEFT JOIN p ON usr = c_custkey""")
 def fallback_split(spark, d):
-    from tidemark.functions.expressions import Typed, compile_column
     from tidemark.operators.users import profile_sizes
 
     sizes = profile_sizes(events(spark, d), ["purchase"])
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("user")).join(sizes, "user", "left").withColumn("profile_size", F.coalesce("profile_size", F.lit(0)).cast("double"))
-    few = compile_column("profile.size < 30", {"profile.size": Typed(F.col("profile_size"), "number")}).column
-    return rows.select(F.col("user").alias("user_id"), F.when(F.coalesce(few, F.lit(False)), "popular").otherwise("home").alias("served"))
+    doc = {"recommenders": {"home": {"fallback": [{"when": "profile.size < 30", "use": "popular"}]}, "popular": {}}}
+    served = tuning.fallback_column(doc, "home", {"profile.size": Typed(F.col("profile_size"), "number")})
+    return rows.select(F.col("user").alias("user_id"), served.alias("served"))
 
 
 @query("knob_resolve", """SELECT c_custkey AS user_id, round(x, 6) AS value, round(1 - x, 6) AS content, round(0.5 * x + 0.1, 6) AS popular FROM (SELECT c_custkey, least(greatest(c_acctbal / 5000, 0), 1) AS x FROM customer)""")
 def knob_resolve(spark, d):
     """A saved knob value for each customer, clamped and mapped to two weights."""
-    from tidemark.functions.expressions import compile_numeric
-
-    x = F.least(F.greatest(F.col("c_acctbal") / 5000, F.lit(0.0)), F.lit(1.0))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.round(x, 6).alias("value"), F.round(compile_numeric("1 - x", "x")(x), 6).alias("content"), F.round(compile_numeric("0.5 * x + 0.1", "x")(x), 6).alias("popular"))
+    doc = {
+        "signals": {"content": {"type": "item_neighbors"}, "popular": {"type": "global_count"}}, "recommenders": {"home": {}},
+        "knobs": [{"id": "balance", "range": [0, 1], "default": 0.5, "maps": {"content": "1 - x", "signals.popular.weight": "0.5 * x + 0.1"}}],
+    }
+    values, mapped = tuning.knob_columns(doc, "home", {"balance": F.col("c_acctbal") / 5000})
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.round(values["balance"], 6).alias("value"), F.round(mapped["content"], 6).alias("content"), F.round(mapped["signals.popular.weight"], 6).alias("popular"))
 
 
 @query("metric_ratio", "SELECT event_type AS type, count(*)::BIGINT AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM events WHERE event_type = 'view'), 6) AS per_view FROM events GROUP BY event_type")
