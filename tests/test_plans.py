@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import rules
 from tidemark.plans import schema as s
 from tidemark.plans import tuning
 from tidemark.plans.recommend import Planner, Tables, train_model
@@ -123,6 +124,51 @@ def test_home_with_learned_taste(spark, tables, compiled):
     assert len(top) == 3
 
 
+def test_rules_by_guard_and_type(spark, tables):
+    """A guard decides request by request; a rule for another type is left out."""
+    text = TEXT.replace("- { id: spread, quota: { attribute: artist, max: 1, per: 2 } }", "- { id: spread, when: $context.genre == 'odd', quota: { attribute: artist, max: 1, per: 2 } }\n  - { id: other, for: [user], quota: { attribute: artist, max: 1, per: 2 } }").replace("rules: [spread]", "rules: [spread, other]").replace("constraints: [new_only, genre]", "constraints: [new_only]")
+    compiled = s.compile_schema(s.parse(text))
+    requests, seeds = spark.createDataFrame([(1, "u0")], "request_id int, user string"), spark.createDataFrame([(1, 0, "s0")], "request_id int, seed_pos int, item string")
+    artist = {r.item: r.artist for r in tables.items.collect()}
+    lists = {}
+    for genre in ("odd", "jazz", None):
+        context = {"genre": genre} if genre else {}
+        rows = Planner(compiled, "add", tables, requests, seeds, clock(), context).answer(9).orderBy("position").collect()
+        lists[genre] = [r.item for r in rows]
+        assert [r.position for r in rows] == list(range(1, len(rows) + 1))
+    assert lists["jazz"] == lists[None] and sorted(lists["odd"]) == sorted(lists["jazz"])
+    order = [lists[None][i] for i in rules.quota_order([artist[i] for i in lists[None]], 1, 2)]
+    assert lists["odd"] == order
+
+
+def test_weights_see_the_context(spark, tables, compiled):
+    doc = s.patch(compiled.doc, {"recommenders.add.weights": {"rare": "if($context.genre == 'jazz', 0.7, 0.2)"}})
+    requests = spark.createDataFrame([(1, "u0")], "request_id int, user string")
+    weight = lambda context: Planner(s.compile_schema(doc), "add", tables, requests, now=clock(), context=context).weights["rare"]
+    assert weight({"genre": "jazz"}) == 0.7 and weight({"genre": "rock"}) == 0.2 and weight({}) == 0.0
+
+
+def test_neighbours_query_is_the_seed_and_the_blend(spark, tables, compiled):
+    """For user seeds the last positive items count 1 each, and the profile by its blend."""
+    requests = spark.createDataFrame([(1, "u0")], "request_id int, user string")
+    plain = Planner(compiled, "home", tables, requests, now=clock())
+    assert plain.declared_blend() == plain.knob_blend() == 0.0
+    profile = {}
+    for r in plain.profiles().collect():
+        profile.setdefault(r.user, {})[r.item] = r.w
+    seed = {r.item for r in plain.seeds.collect()}
+    for blend in (0.0, 0.5):
+        top = max(profile["u0"].values())
+        q = {i: 1.0 * (i in seed) + blend * profile["u0"].get(i, 0.0) / top for i in seed | set(profile["u0"])}
+        size = lambda v: sum(x * x for x in v.values()) ** 0.5
+        want = {u: sum(w * v.get(i, 0.0) for i, w in q.items()) / (size(q) * size(v)) for u, v in profile.items() if u != "u0"}
+        got = {r.user: r.sim for r in plain.neighbours(blend).collect()}
+        assert got == pytest.approx({u: x for u, x in want.items() if x > 0})
+    doc = s.patch(compiled.doc, {"recommenders.add.blend_user": 0.3, "knobs.balance.maps": {"recommenders.add.blend_user": "x"}})
+    both = Planner(s.compile_schema(doc), "add", tables, requests, now=clock())
+    assert both.declared_blend() == 0.3 and both.knob_blend() == 0.4
+
+
 def test_knobs(compiled):
     r = tuning.resolve_knobs(compiled.doc, "add", "crowd", {"balance": 0.5}, {"balance": 7.0})
     assert r.values["balance"] == 1 and r.clamped == ["balance"] and r.weights == {"content": 0.0, "popular": 1.0}

@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("scans", "similarities", "signals", "filters", "ranking", "learned", "control"):
+    for module in ("scans", "similarities", "signals", "filters", "ranking", "learned", "control", "planned"):
         import_module(f"tidemark.queries.{module}")
