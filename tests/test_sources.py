@@ -32,10 +32,27 @@ def test_interactions(spark):
 
 
 def test_json_lines(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text("\n".join([json.dumps({"id": "1", "n": 2}), "", "{oops", json.dumps({"id": "2", "q": 1}), json.dumps({"id": "3"})]))
-    good, bad = ingest.json_lines(spark, str(tmp_path), "id string, n int", ["id", "n"])
-    assert sorted(r.id for r in good.collect()) == ["1", "3"]
-    assert sorted(r.reject_reason for r in bad.collect()) == ["line is not a JSON object", "unknown key"]
+    rows = ['{"id": "1", "n": 2}', "", "{oops", '{"id": "2", "q": 1}', '{"id": "3"}', ' \t\r', '{"id":"b","n":"oops"}', '{"id":"c","n":[1]}', '{"id":"e"} trailing', "[1]", '{"id":"f","n":2.5,"tags":["x"]}', '{"id":4}', '{"id":"g","n":null,"tags":"x"}', '{"id":"h","tags":["x"],"n":7}\r', '{"id":"1"}] x', '{"id":"1"}} x', '{"id":"1"},{"id":"2"}']
+    (tmp_path / "a.jsonl").write_text("\n".join(rows))
+    good, bad = ingest.json_lines(spark, str(tmp_path), "id string, n int, tags array<string>", ["id", "n", "tags"])
+    assert sorted((r.line, r.id, r.n) for r in good.collect()) == [(1, "1", 2), (5, "3", None), (14, "h", 7)]
+    no = "line is not a JSON object"
+    assert {r.line: r.reject_reason for r in bad.collect()} == {3: no, 4: "unknown key", 7: "n is not a int", 8: "n is not a int", 9: no, 10: no, 11: "n is not a int", 12: "id is not a string", 13: "tags is not a array<string>", 15: no, 16: no, 17: no}
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """Several files, each read in many blocks."""
+    for name, n in (("a", 700), ("b", 300)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} line {k}\n" if k % 7 else "\n" for k in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = ingest.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 1000 and all(r.value in ("", f"{r.file[-5]} line {r.line}") for r in rows)
+    assert sorted((r.file[-5], r.line) for r in rows) == [("a", k) for k in range(1, 701)] + [("b", k) for k in range(1, 301)]
 
 
 def test_models(spark, tmp_path):
