@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.decay import age_seconds, micros
+from tidemark.functions.expressions import compile_column
 from tidemark.functions.geo import haversine_km
 from tidemark.functions.normalise import combine
 
@@ -128,3 +129,28 @@ def recurrence(events: DataFrame, min_users: int = 1) -> DataFrame:
     gaps = events.withColumn("gap", (micros(F.col("ts")) - micros(F.lag("ts").over(order))) / 1e6).where("gap > 0")
     per = gaps.groupBy(F.col("target").alias("item")).agg(F.percentile("gap", 0.5).alias("usual_gap"), F.countDistinct("user").alias("users"))
     return per.where(F.col("users") >= min_users)
+
+
+def attribute_match(candidates: DataFrame, attr: Column, value: Column, attr_set: bool = False, value_set: bool = False) -> DataFrame:
+    """1 if an attribute equals a value or shares a member with it, else 0; 0 if either is
+    missing."""
+    a, b = attr if attr_set else F.array(attr), value if value_set else F.array(value)
+    return candidates.select(*KEYS, F.coalesce(F.arrays_overlap(a, b), F.lit(False)).cast("double").alias("raw"))
+
+
+def attribute_value(candidates: DataFrame, x: Column) -> DataFrame:
+    """The number itself; NULL if missing, which normalises to the middle."""
+    return candidates.select(*KEYS, x.cast("double").alias("raw"))
+
+
+def formula(candidates: DataFrame, source: str, env: dict) -> DataFrame:
+    """An expression over the candidate's row; NULL where it reads something missing."""
+    return candidates.select(*KEYS, compile_column(source, env).column.cast("double").alias("raw"))
+
+
+def satiation(candidates: DataFrame, fulfilled: DataFrame, by: str) -> DataFrame:
+    """``1 / (1 + n)`` with ``n`` the user's fulfilling events on items of the candidate's
+    ``by`` value; 1 without a user or a value.  ``candidates`` has ``user`` and ``by``,
+    ``fulfilled`` has ``user`` and ``by``; a row of counts for each user and value is joined."""
+    done = fulfilled.where(F.col("user").isNotNull() & F.col(by).isNotNull()).groupBy("user", by).agg(F.count("*").alias("n"))
+    return candidates.join(done, ["user", by], "left").select(*KEYS, (1 / (1.0 + F.coalesce("n", F.lit(0)))).alias("raw"))

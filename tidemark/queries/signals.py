@@ -259,3 +259,38 @@ def mutual_connections(spark, d):
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     edges = lines.where("l_quantity >= 45").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("target"))
     return sig.mutual_connections(edges).withColumnRenamed("user", "user_id")
+
+
+SQL_ALL = f"{SQL_ITEMS}, req AS (SELECT p_partkey AS request_id FROM part WHERE p_partkey % 20 = 0)"
+
+
+@query("sig_attribute_match", f"{SQL_ALL}, x AS (SELECT request_id, words AS own FROM req JOIN items ON item = request_id) SELECT request_id, item, (len(list_intersect(words, own)) > 0)::INTEGER::DOUBLE AS raw FROM items CROSS JOIN x")
+def sig_attribute_match(spark, d):
+    """Whether a part shares a word of its name with the request's."""
+    own = items(spark, d).select(F.col("item").alias("request_id"), F.col("words").alias("own"))
+    rows = all_candidates(spark, d).join(own, "request_id")
+    return sig.attribute_match(rows, F.col("words"), F.col("own"), True, True).select("request_id", "item", "raw")
+
+
+@query("sig_attribute_value", f"{SQL_ALL} SELECT request_id, item, price AS raw FROM items CROSS JOIN req")
+def sig_attribute_value(spark, d):
+    return sig.attribute_value(all_candidates(spark, d), F.col("price")).select("request_id", "item", "raw")
+
+
+@query("sig_formula", f"{SQL_ALL} SELECT request_id, item, round(CASE WHEN size > 25 THEN sqrt(price) ELSE price / 100 + size END, 6) AS raw FROM items CROSS JOIN req")
+def sig_formula(spark, d):
+    from tidemark.functions.expressions import Typed
+
+    env = {"$item.size": Typed(F.col("size"), "number"), "$item.price": Typed(F.col("price"), "number")}
+    made = sig.formula(all_candidates(spark, d), "if($item.size > 25, sqrt($item.price), $item.price / 100 + $item.size)", env)
+    return made.select("request_id", "item", F.round("raw", 6).alias("raw"))
+
+
+@query("sig_satiation", f"""{SQL_EVENTS}, {SQL_ITEMS}, c AS (SELECT DISTINCT usr, target FROM ev WHERE usr % 20 = 0), f AS (SELECT usr, brand, count(*) AS n FROM ev JOIN items ON item = target WHERE type = 'purchase' GROUP BY usr, brand)
+SELECT c.usr AS request_id, c.target AS item, round(1 / (1.0 + coalesce(n, 0)), 6) AS raw FROM c JOIN items ON item = target LEFT JOIN f ON f.usr = c.usr AND f.brand = items.brand""")
+def sig_satiation(spark, d):
+    """Parts that customers have touched, less wanted the more of the brand they bought."""
+    brands = items(spark, d).select("item", "brand")
+    done = events(spark, d).select("user", "type", F.col("target").alias("item")).join(brands, "item")
+    rows = done.where("user % 20 = 0").select(F.col("user").alias("request_id"), "user", "item", "brand").distinct().withColumn("cand_pos", F.lit(1))
+    return sig.satiation(rows, done.where("type = 'purchase'"), "brand").select("request_id", "item", F.round("raw", 6).alias("raw"))
