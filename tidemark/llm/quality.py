@@ -146,7 +146,7 @@ def model_key(m: Column, variant: Column | int) -> Column:
 def variants(counts: DataFrame, folds: int) -> DataFrame:
     """``mk, gram, n``: the counts of every language's and the pooled model, of all text
     and without each fold, from the counts by fold."""
-    by_fold = counts.groupBy("m", "gram").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(folds)])
+    by_fold, _ = write_table(counts.groupBy("m", "gram").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(folds)]), "fold-counts")
     pooled = F.lit(POOLED_ID).cast("long")
     every = by_fold.groupBy("gram").agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in range(folds)]).select(pooled.alias("m"), "gram", *[f"n{f}" for f in range(folds)])
     both = by_fold.where(F.col("m") != pooled).unionByName(every)
