@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,14 +82,34 @@ def word_hashes(line: bytes, hasher: Hasher) -> np.ndarray:
     return np.concatenate(out)
 
 
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.full(size, base, dtype=np.uint64)) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+@lru_cache(maxsize=4)
+def _draws(n: int) -> np.ndarray:
+    return np.random.default_rng(17).integers(0, 1 << 63, (2, n, 1), dtype=np.uint64) | np.uint64(1)
+
+
+def line_hashes(text: bytes, hasher: Hasher) -> list[np.ndarray]:
+    """Hashes of the words of each line of a text."""
+    lines = text.lower().split(b"\n")
+    if len(text) > SPLIT_BYTES:
+        return [word_hashes(line, hasher) for line in lines]
+    words = [line.split() for line in lines]
+    return np.split(hasher([w for line in words for w in line]), np.cumsum([len(line) for line in words])[:-1])
+
+
 class Runs:
     """Hashes of runs of words, from prefix sums of a polynomial."""
 
     def __init__(self, h: np.ndarray):
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(len(h), _ODD, dtype=np.uint64))
-            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
-            self.inverse = np.cumprod(np.full(len(h), pow(_ODD, -1, 1 << 64), dtype=np.uint64))
+        # powers of a few sizes are kept; those of a very long text are made for it alone
+        power, self.inverse = _powers(BLOCK) if len(h) <= BLOCK else _powers.__wrapped__(len(h))
+        self.total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * power[: len(h)], out=self.total[1:])
 
     def __call__(self, at: np.ndarray, length: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -114,7 +135,7 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
 
 def band_keys(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """MinHash bands of a set of shingles."""
-    draws = np.random.default_rng(17).integers(0, 1 << 63, (2, bands * rows, 1), dtype=np.uint64) | np.uint64(1)
+    draws = _draws(bands * rows)
     low = np.full(bands * rows, _M64, dtype=np.uint64)
     for s in range(0, len(grams), BLOCK):
         np.minimum(low, ((grams[None, s : s + BLOCK] * draws[0] + draws[1]) >> np.uint64(20)).min(axis=1), out=low)
@@ -130,7 +151,7 @@ def text_rows(group: list[bytes], hasher: Hasher, bands: int, rows: int) -> list
     out, parts, sizes, owners = [], [], [], []
     none = np.zeros(0, np.int64)
     for i, text in enumerate(group):
-        lines = [word_hashes(line, hasher) for line in text.lower().split(b"\n")]
+        lines = line_hashes(text, hasher)
         h = np.concatenate(lines)
         if len(h) < PASSAGE:
             continue
@@ -271,7 +292,7 @@ def repeated_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
         for b in chunks(batches, 0):
             found, starts = [], []
             for text, places in zip(texts(b.column(0)), b.column(4)):
-                h = np.concatenate([word_hashes(line, hasher) for line in text.lower().split(b"\n")])
+                h = np.concatenate(line_hashes(text, hasher))
                 at = np.unique((places.values.to_numpy()[:, None] - np.arange(PASSAGE - PIECE + 1)[None, :]).ravel()).astype(np.int64)
                 at = at[(at >= 0) & (at + PASSAGE <= len(h))]
                 found.append(Runs(h)(at, PASSAGE).view(np.int64))
