@@ -111,8 +111,9 @@ def row_key(*columns: str):
     return [F.coalesce(F.col(columns[0]).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(*[F.col(c) for c in columns]).alias("k2")]
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose ``row_key`` is among ``keys``."""
+def drop_rows(docs: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose ``row_key`` is not among the distinct
+    ``keys``, a written table; a short one is broadcast, so that the texts stay in place."""
     k1, k2 = row_key(*columns)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1, k2)
-    return held.join(keys.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("row.*")
+    return sized_join(held, keys, ["k1", "k2"], "left_anti").select("row.*")

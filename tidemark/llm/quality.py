@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, drop_table, keep_rows, row_key, sized_join, texts, write_table
+from tidemark.llm.common import chunks, drop_rows, drop_table, row_key, sized_join, texts, write_table
 
 ORDER = 4
 #: Bits of a symbol, the symbols that the lowest order is spread over, and the pad (a
@@ -428,8 +428,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mos
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that ``classify`` keeps, with all their columns."""
-    decided, _ = write_table(classify(docs, labels).where("keep").select("k1", "k2"), "quality")
-    return keep_rows(docs, decided, "doc_id", "text", "lang")
+    rejected, _ = write_table(classify(docs, labels).where("not keep").select("k1", "k2").distinct(), "rejected")
+    return drop_rows(docs, rejected, "doc_id", "text", "lang")
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
