@@ -129,6 +129,18 @@ def test_held_out_text_is_scored_by_the_other_folds(spark, monkeypatch):
     assert q.held_out(trusted.where("fold = 0"), known, table, q.SENT_ENTRIES, 2, []).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 0.995])
+def test_quantiles_do_not_depend_on_the_partitions(spark, share):
+    rng = np.random.default_rng(9)
+    rates = {m: rng.gamma(9, 0.2, n) for m, n in (("a", 4001), ("b", 7))}
+    rows = spark.createDataFrame([(m, float(x)) for m, v in rates.items() for x in v], "model string, rate double")
+    got = {tuple(sorted((r.model, r.at, r["size"]) for r in q.quantiles(rows.repartition(n, "rate"), share, "at").collect())) for n in (1, 3, 17)}
+    assert len(got) == 1
+    for m, at, size in got.pop():
+        want = np.sort(rates[m])[math.ceil(share * len(rates[m])) - 1]
+        assert size == len(rates[m]) and 0 <= at - want <= 1 / q.GRID
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "good text here", "en", 1), (1, "good text here", "en", 1), (2, None, "en", 2), (3, "", None, 3), (None, "good text", None, 4), (4, "퟿￿ ok", "xx", 5)], "doc_id long, text string, lang string, keep int")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")

@@ -47,6 +47,9 @@ FOLDS = 2
 #: Characters at the language's median that every document is padded with in effect, so
 #: that the chance of a few odd letters does not reject short documents.
 PRIOR_CHARS = 60
+#: Parts of a nat that quantiles are counted in, so that they do not depend on the order in
+#: which tasks end, as a sketch's would.
+GRID = 100_000
 #: Id of the pooled model; a language's is a hash of its name.
 POOLED_ID = 0
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -382,6 +385,15 @@ def held_out(trusted: DataFrame, known: DataFrame, table: DataFrame, most: int,
     return score(rows.select(model_key(F.when(own, F.col("m")).otherwise(F.lit(POOLED_ID).cast("long")), F.col("fold")).alias("mk"), "text", F.when(own, F.col("lang")).otherwise(POOLED).alias("model")), table, most, paths)
 
 
+def quantiles(rows: DataFrame, share: float, name: str) -> DataFrame:
+    """``model, size`` and the quantile of ``rate`` by model, rounded up to the grid; a row
+    for each step of the grid is ordered, however many documents there are."""
+    steps = rows.groupBy("model", F.floor(F.col("rate") * GRID).alias("step")).agg(F.count("*").alias("n"))
+    of = Window.partitionBy("model")
+    counted = steps.withColumns({"upto": F.sum("n").over(of.orderBy("step")), "size": F.sum("n").over(of)})
+    return counted.where(F.col("upto") >= F.lit(share) * F.col("size")).groupBy("model").agg(((F.min("step") + 1) / GRID).alias(name), F.max("size").alias("size"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most: int = SENT_ENTRIES, folds: int = FOLDS) -> DataFrame:
     """One row per document: ``doc_id, k1, k2, model, perplexity, threshold, keep``.
 
@@ -412,10 +424,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mos
     rows = rows.select("doc_id", "k1", "k2", F.when(F.col("m").isNull(), POOLED).otherwise(F.col("lang")).alias("model"), model_key(F.coalesce("m", F.lit(POOLED_ID).cast("long")), -1).alias("mk"), "text")
     scored, _ = write_table(score(rows, rest.where("all").drop("all"), most, paths), "scores")
     per_unit = -F.col("log_p") / F.col("n")
-    middle = unseen.groupBy("model").agg(F.percentile_approx(per_unit, 0.5, 10000).alias("middle"))
-    overall = unseen.agg(F.percentile_approx(per_unit, 0.5, 10000)).first()[0]
-    centre = lambda rows: sized_join(rows, middle, "model", "left").withColumn("rate", (F.lit(PRIOR_CHARS) * F.coalesce("middle", F.lit(overall), per_unit) - F.col("log_p")) / (F.col("n") + PRIOR_CHARS))
-    limits = centre(unseen).groupBy("model").agg(F.percentile_approx("rate", quantile, 10000).alias("limit"), F.count("*").alias("size"))
+    plain = unseen.withColumn("rate", per_unit)
+    middle, _ = write_table(quantiles(plain, 0.5, "middle").select("model", "middle"), "middles")
+    found = quantiles(plain.withColumn("model", F.lit(POOLED)), 0.5, "middle").first()
+    overall = found["middle"] if found else None
+    centre = lambda rows: sized_join(rows, middle, "model", "left").withColumn("rate", (F.lit(PRIOR_CHARS) * F.coalesce("middle", F.lit(overall).cast("double"), per_unit) - F.col("log_p")) / (F.col("n") + PRIOR_CHARS))
+    limits = quantiles(centre(unseen), quantile, "limit")
     limits, _ = write_table(limits, "limits")
     widest = limits.agg(F.max("limit")).first()[0]
     judged = sized_join(centre(scored), limits.where(F.col("size") >= MIN_TRUSTED), "model", "left")
