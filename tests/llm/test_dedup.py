@@ -236,6 +236,7 @@ def test_repeated_text_against_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(sub, "SPLIT_BYTES", 40)
         monkeypatch.setattr(sub, "BLOCK", 16)
         monkeypatch.setattr("tidemark.llm.common.BROADCAST_ROWS", 0)
+        monkeypatch.setattr(sub, "BROADCAST_PLACES", 0)
     docs = passages()
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(docs)], "doc_id long, text string, key int")
     rows = sub.repeated_text(df).collect()

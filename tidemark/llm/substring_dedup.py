@@ -33,6 +33,8 @@ MIN_WORDS = PASSAGE
 SPLIT_BYTES, BLOCK = 1 << 20, 1 << 16
 #: Texts of one band group compared in one task; larger groups go by pairs of blocks.
 GROUP_BLOCK = 1024
+#: Numbers of 4 bytes that a broadcast of places holds at most (64 MB).
+BROADCAST_PLACES = 16_000_000
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _ODD = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -299,7 +301,9 @@ def repeated_passages(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 starts.append(at)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), _lists(found), _lists(starts, pa.int32())], ["key", "a", "z", "windows", "starts"])
 
-    read = sized_join(docs.select("k1", "k2", "text"), hits, ["k1", "k2"]).select("text", "key", "a", "z", "places")
+    # lists of places differ in length: their sum, not the rows, says what a broadcast sends
+    numbers = hits.agg(F.sum(F.size("places") + 8)).first()[0] or 0
+    read = docs.select("k1", "k2", "text").join(F.broadcast(hits) if numbers <= BROADCAST_PLACES else hits, ["k1", "k2"]).select("text", "key", "a", "z", "places")
     around, _ = write_table(read.mapInArrow(windows, "key long, a long, z long, windows array<long>, starts array<int>"), "windows")
     spread = around.select("key", "a", "z", F.explode(F.arrays_zip("windows", "starts")).alias("w")).select("key", "a", "z", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"))
     both, _ = write_table(spread.groupBy("window").agg(F.min("a").alias("first"), F.max("z").alias("last")).where("first <> last").select("window", "first"), "shared-windows")
