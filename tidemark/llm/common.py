@@ -10,15 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder of its own.
+#: Used only by a session on one machine that names no folder of its own.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 #: Text handed to one vectorised step, in bytes; bounds a worker's memory.
 CHUNK_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The shared folder for intermediate tables, from ``spark.checkpoint.dir``; it has to
+    be set on a cluster, where a folder of one machine would lose rows."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+    return (found or LOCAL_SCRATCH).rstrip("/")
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
