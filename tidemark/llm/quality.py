@@ -50,6 +50,8 @@ PRIOR_CHARS = 60
 #: Parts of a nat that quantiles are counted in, so that they do not depend on the order in
 #: which tasks end, as a sketch's would.
 GRID = 100_000
+#: Steps of that grid that are ordered in one go.
+GRID_BLOCK = 1000
 #: Id of the pooled model; a language's is a hash of its name.
 POOLED_ID = 0
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -386,11 +388,17 @@ def held_out(trusted: DataFrame, known: DataFrame, table: DataFrame, most: int,
 
 
 def quantiles(rows: DataFrame, share: float, name: str) -> DataFrame:
-    """``model, size`` and the quantile of ``rate`` by model, rounded up to the grid; a row
-    for each step of the grid is ordered, however many documents there are."""
-    steps = rows.groupBy("model", F.floor(F.col("rate") * GRID).alias("step")).agg(F.count("*").alias("n"))
+    """``model, size`` and the quantile of ``rate`` by model, rounded up to the grid.
+
+    Blocks of ``GRID_BLOCK`` steps are ordered first, then the steps of the one block in
+    which the quantile falls, so that no task orders a model's whole grid.
+    """
+    steps = rows.groupBy("model", F.floor(F.col("rate") * GRID).alias("step")).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("step") / GRID_BLOCK))
     of = Window.partitionBy("model")
-    counted = steps.withColumns({"upto": F.sum("n").over(of.orderBy("step")), "size": F.sum("n").over(of)})
+    upto = F.sum("n").over(of.orderBy("block"))
+    blocks = steps.groupBy("model", "block").agg(F.sum("n").alias("n")).select("model", "block", (upto - F.col("n")).alias("before"), upto.alias("upto"), F.sum("n").over(of).alias("size"))
+    reached = blocks.where(F.col("upto") >= F.lit(share) * F.col("size")).groupBy("model").agg(F.min("block").alias("block"), F.min("before").alias("before"), F.max("size").alias("size"))
+    counted = steps.join(reached, ["model", "block"]).withColumn("upto", F.col("before") + F.sum("n").over(of.orderBy("step")))
     return counted.where(F.col("upto") >= F.lit(share) * F.col("size")).groupBy("model").agg(((F.min("step") + 1) / GRID).alias(name), F.max("size").alias("size"))
 
 
