@@ -51,6 +51,13 @@ def fresh(items: DataFrame, created: str) -> DataFrame:
     return items.where(F.col(created).isNotNull()).select("item", (micros(F.col(created)) / 1e6).alias("value"))
 
 
+def unexposed(interactions: DataFrame, items: DataFrame) -> DataFrame:
+    """``item, value`` with ``1 / sqrt(1 + n)`` for ``n`` interactions of any kind, so that
+    what was shown least comes first."""
+    counted = interactions.groupBy(F.col("target").alias("item")).agg(F.count("*").alias("n"))
+    return items.select("item").join(counted, "item", "left").select("item", F.round(1 / F.sqrt(1.0 + F.coalesce("n", F.lit(0))), 9).alias("value"))
+
+
 def union(sources: list[DataFrame], cap: int = CANDIDATE_CAP) -> DataFrame:
     """``request_id, item, cand_pos``: sources in order, an item at its first place."""
     rows = None

@@ -71,6 +71,13 @@ def reason(words: dict[str, Column]) -> Column:
     return F.when(F.coalesce(second["minus"] <= first["minus"] * SECOND_REASON, F.lit(False)) & one.isNotNull() & two.isNotNull(), F.concat_ws(" · ", one, two)).otherwise(one)
 
 
+def best_seeds(pairs: DataFrame, most: int = 2) -> DataFrame:
+    """``request_id, item, seed_pos, value, nth``: the seed items to which a candidate owes
+    most, of ``pairs(request_id, seed_pos, item, value)``; ties by place in the seed."""
+    order = Window.partitionBy("request_id", "item").orderBy(F.desc(F.round("value", 9)), "seed_pos")
+    return pairs.where("value > 0").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("request_id", "item", "seed_pos", "value", "nth")
+
+
 def typical_gap(candidates: DataFrame, attr: str, sample: int = 200) -> DataFrame:
     """``request_id, gap``: mean absolute difference of an attribute over all pairs of
     the first ``sample`` candidates, from their sorted order: with ``n`` values the

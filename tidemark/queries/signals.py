@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.decay import edge_weight, fade
 from tidemark.operators import candidates as cand
 from tidemark.operators import cooccurrence as co
+from tidemark.operators import scoring
 from tidemark.operators import signals as sig
 from tidemark.operators import users as usr
 from tidemark.queries import query
@@ -294,3 +295,31 @@ def sig_satiation(spark, d):
     done = events(spark, d).select("user", "type", F.col("target").alias("item")).join(brands, "item")
     rows = done.where("user % 20 = 0").select(F.col("user").alias("request_id"), "user", "item", "brand").distinct().withColumn("cand_pos", F.lit(1))
     return sig.satiation(rows, done.where("type = 'purchase'"), "brand").select("request_id", "item", F.round("raw", 6).alias("raw"))
+
+
+SQL_HEAD = "r AS (SELECT q.request_id, v.item, v.value, row_number() OVER (PARTITION BY q.request_id ORDER BY v.value DESC, v.item)::INTEGER AS src_rank FROM req q CROSS JOIN v WHERE v.value > 0 AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.request_id = q.request_id AND s.item = v.item))"
+
+
+@query("src_trend", f"""{SQL_EVENTS}, {SQL_SEEDS}, a AS (SELECT target, usr, ({SQL_AGE}) <= 100 * 86400.0 AS recent FROM ev WHERE ({SQL_AGE}) <= 500 * 86400.0),
+c AS (SELECT target AS item, count(DISTINCT usr) FILTER (recent) AS n, count(DISTINCT usr) FILTER (NOT recent) AS b FROM a GROUP BY target),
+v AS (SELECT item, round(CASE WHEN n >= 2 THEN greatest(0, ln((n + 1.0) / (b * (100.0 / 400.0) + 1.0) / 1.2)) ELSE 0 END, 9) AS value FROM c), {SQL_HEAD}
+SELECT request_id, item, round(value, 6) AS value, src_rank FROM r WHERE src_rank <= 200""")
+def src_trend(spark, d):
+    rising = sig.trend(events(spark, d), now(), 100 * DAY, 400 * DAY, 1.2, 2).select("item", F.round("raw", 9).alias("value"))
+    return cand.for_requests(requests(spark, d), rising, seeds(spark, d)).select("request_id", "item", F.round("value", 6).alias("value"), "src_rank")
+
+
+@query("src_unexposed", f"""{SQL_EVENTS}, {SQL_SEEDS}, c AS (SELECT target AS item, count(*) AS n FROM ev GROUP BY target),
+v AS (SELECT p_partkey AS item, round(1 / sqrt(1.0 + coalesce(n, 0)), 9) AS value FROM part LEFT JOIN c ON c.item = p_partkey), {SQL_HEAD}
+SELECT request_id, item, round(value, 6) AS value, src_rank FROM r WHERE src_rank <= 200""")
+def src_unexposed(spark, d):
+    rare = cand.unexposed(events(spark, d), items(spark, d))
+    return cand.for_requests(requests(spark, d), rare, seeds(spark, d)).select("request_id", "item", F.round("value", 6).alias("value"), "src_rank")
+
+
+@query("explain_best_seeds", f"""{SQL_CO}, pv AS (SELECT s.request_id, s.seed_pos, co.item, sup * groups::DOUBLE / (n_seed * n_item) AS value FROM seeds s JOIN co ON co.seed_item = s.item),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id, item ORDER BY round(value, 9) DESC, seed_pos)::INTEGER AS nth FROM pv WHERE value > 0)
+SELECT request_id, item, seed_pos, round(value, 6) AS value, nth FROM r WHERE nth <= 2""")
+def explain_best_seeds(spark, d):
+    pairs = co.seed_values(seeds(spark, d), support(spark, d))
+    return scoring.best_seeds(pairs).select("request_id", "item", "seed_pos", F.round("value", 6).alias("value"), "nth")
