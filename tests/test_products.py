@@ -31,3 +31,8 @@ def test_flt_in_seed_joins_no_pairs(spark, no_small_sides, small_tasks):
     assert "LeftAnti" not in plan(got)
     assert got.rdd.getNumPartitions() > 1
     assert got.count() == 10 * 200 - 10 * 3
+
+
+@pytest.mark.parametrize("name", ["flt_range", "flt_when_guard"])
+def test_products_of_customers_are_dealt_out(spark, small_tasks, name):
+    assert entry.engine.QUERIES[name](spark, DIR).rdd.getNumPartitions() > 1
