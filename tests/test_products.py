@@ -36,3 +36,7 @@ def test_flt_in_seed_joins_no_pairs(spark, no_small_sides, small_tasks):
 @pytest.mark.parametrize("name", ["flt_range", "flt_when_guard"])
 def test_products_of_customers_are_dealt_out(spark, small_tasks, name):
     assert entry.engine.QUERIES[name](spark, DIR).rdd.getNumPartitions() > 1
+
+
+def test_sig_attribute_value_is_dealt_out(spark, small_tasks):
+    assert entry.engine.QUERIES["sig_attribute_value"](spark, DIR).rdd.getNumPartitions() > 1
