@@ -40,3 +40,18 @@ def test_products_of_customers_are_dealt_out(spark, small_tasks, name):
 
 def test_sig_attribute_value_is_dealt_out(spark, small_tasks):
     assert entry.engine.QUERIES["sig_attribute_value"](spark, DIR).rdd.getNumPartitions() > 1
+
+
+def test_seed_matches_meet_by_value_and_a_seed_without_one_keeps_all(spark):
+    from tidemark.operators.constraints import seed_matches
+
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "request_id long")
+    seeds = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 13)], "request_id long, item long")
+    items = spark.createDataFrame([(10, "a"), (11, "b"), (12, "a"), (13, None), (14, "c")], "item long, brand string")
+    got = seed_matches(asked, seeds, items, "brand")
+    every = [10, 11, 12, 13, 14]
+    assert sorted((r["request_id"], r["item"]) for r in got.collect()) == [(1, 10), (1, 11), (1, 12)] + [(2, i) for i in every] + [(3, i) for i in every]
+
+
+def test_flt_seed_ref_makes_no_pair_that_does_not_match(spark):
+    assert "arrays_overlap" not in plan(entry.engine.QUERIES["flt_seed_ref"](spark, DIR))
