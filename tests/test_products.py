@@ -55,3 +55,13 @@ def test_seed_matches_meet_by_value_and_a_seed_without_one_keeps_all(spark):
 
 def test_flt_seed_ref_makes_no_pair_that_does_not_match(spark):
     assert "arrays_overlap" not in plan(entry.engine.QUERIES["flt_seed_ref"](spark, DIR))
+
+
+def test_near_places_compares_a_place_once(spark):
+    from tidemark.operators.constraints import near_places
+
+    items = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 50.0, 0.0), (4, None, 0.0)], "item long, lat double, lon double")
+    origins = spark.createDataFrame([(7, 1.0, 0.0), (8, 1.0, 0.0), (9, None, 0.0)], "request_id long, o_lat double, o_lon double")
+    got = near_places(items, origins, 1000.0)
+    assert sorted((r["request_id"], r["item"]) for r in got.collect()) == [(7, 1), (7, 2), (8, 1), (8, 2), (9, 1), (9, 2), (9, 3), (9, 4)]
+    assert "BroadcastNestedLoopJoin" in plan(got) and plan(got).count("collect_list") >= 2
