@@ -65,3 +65,37 @@ def test_near_places_compares_a_place_once(spark):
     got = near_places(items, origins, 1000.0)
     assert sorted((r["request_id"], r["item"]) for r in got.collect()) == [(7, 1), (7, 2), (8, 1), (8, 2), (9, 1), (9, 2), (9, 3), (9, 4)]
     assert "BroadcastNestedLoopJoin" in plan(got) and plan(got).count("collect_list") >= 2
+
+
+def test_lists_are_dealt_to_every_request_that_shares_them(spark):
+    from tidemark.operators.scoring import dealt
+
+    lists = spark.createDataFrame([(0, 5), (0, 6), (1, 7)], "request_id long, item long")
+    asked = spark.createDataFrame([(20, 0), (40, 1), (60, 0)], "request_id long, list_id long")
+    assert sorted((r["request_id"], r["item"]) for r in dealt(lists, asked).collect()) == [(20, 5), (20, 6), (40, 7), (60, 5), (60, 6)]
+
+
+def test_answer_of_one_list_is_that_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import scoring
+
+    scored = spark.createDataFrame([(i, float(i % 4)) for i in range(12)], "item long, score double")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "request_id long")
+    out = spark.createDataFrame([(1, 3), (1, 7), (1, 11), (2, 0)], "request_id long, item long")
+    keys = ["request_id", "item", "rank", "position"]
+    whole = scoring.answer(scoring.ordered(scored.crossJoin(F.broadcast(asked))), out, 3)
+    short = scoring.answer_of_one(scored, asked, out, 3)
+    assert sorted(map(tuple, short.select(keys).collect())) == sorted(map(tuple, whole.select(keys).collect()))
+    assert "CartesianProduct" not in plan(short) and "Range" not in plan(short)
+
+
+#: Queries that score a list once for all requests that share it.
+LISTED = [
+    "explain_breakdown",
+]
+
+
+@pytest.mark.parametrize("name", LISTED)
+def test_requests_that_share_a_list_are_scored_once(spark, name):
+    assert "list_id" in plan(entry.engine.QUERIES[name](spark, DIR))
