@@ -93,6 +93,7 @@ def test_answer_of_one_list_is_that_of_all_pairs(spark):
 #: Queries that score a list once for all requests that share it.
 LISTED = [
     "explain_breakdown",
+    "norm_minmax",
 ]
 
 
