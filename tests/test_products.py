@@ -94,6 +94,7 @@ def test_answer_of_one_list_is_that_of_all_pairs(spark):
 LISTED = [
     "explain_breakdown",
     "norm_minmax",
+    "explain_reason",
 ]
 
 
