@@ -95,6 +95,7 @@ LISTED = [
     "explain_breakdown",
     "norm_minmax",
     "explain_reason",
+    "norm_none",
 ]
 
 
