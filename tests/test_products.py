@@ -96,6 +96,7 @@ LISTED = [
     "norm_minmax",
     "explain_reason",
     "norm_none",
+    "rule_diversity",
 ]
 
 
