@@ -98,6 +98,7 @@ LISTED = [
     "norm_none",
     "rule_diversity",
     "norm_rank",
+    "rule_boost",
 ]
 
 
