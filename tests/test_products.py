@@ -99,6 +99,7 @@ LISTED = [
     "rule_diversity",
     "norm_rank",
     "rule_boost",
+    "rule_mix",
 ]
 
 
