@@ -101,6 +101,7 @@ LISTED = [
     "rule_boost",
     "rule_mix",
     "rule_pin",
+    "rule_place",
 ]
 
 
