@@ -103,6 +103,7 @@ LISTED = [
     "rule_pin",
     "rule_place",
     "score_sum",
+    "rule_quota",
 ]
 
 
