@@ -110,3 +110,15 @@ LISTED = [
 @pytest.mark.parametrize("name", LISTED)
 def test_requests_that_share_a_list_are_scored_once(spark, name):
     assert "list_id" in plan(entry.engine.QUERIES[name](spark, DIR))
+
+
+def test_user_neighbours_shuffle_pairs_once(spark, no_small_sides):
+    from tidemark.operators import users
+
+    profile = spark.createDataFrame([(u, i, 1.0 + u) for u in range(4) for i in range(u, u + 3)], "user long, item long, w double")
+    queries = profile.selectExpr("user AS request_id", "user AS requester", "item", "w")
+    near = users.neighbours(queries, profile)
+    assert len(near.where("request_id = 0").collect()) == 2
+    steps = plan(near)
+    assert steps.count("REPARTITION_BY_COL") == 1
+    assert "Exchange" not in steps[: steps.index("REPARTITION_BY_COL")].rsplit("Exchange", 1)[0]
