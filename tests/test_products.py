@@ -122,3 +122,15 @@ def test_user_neighbours_shuffle_pairs_once(spark, no_small_sides):
     steps = plan(near)
     assert steps.count("REPARTITION_BY_COL") == 1
     assert "Exchange" not in steps[: steps.index("REPARTITION_BY_COL")].rsplit("Exchange", 1)[0]
+
+
+def test_neighbours_items_without_ones_own(spark):
+    from tidemark.operators import signals, users
+
+    near = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25)], "request_id long, user long, sim double")
+    profile = spark.createDataFrame([(1, 10, 1.0), (2, 10, 1.0), (2, 11, 2.0), (3, 11, 4.0), (3, 12, 1.0)], "user long, item long, w double")
+    own = spark.createDataFrame([(1, 10), (9, 11)], "request_id long, item long")
+    keys = ["request_id", "item", "weighted", "holders"]
+    assert sorted(map(tuple, users.neighbour_items(near, profile, own).select(keys).collect())) == [(1, 11, 2.0, 2), (1, 12, 0.25, 1)]
+    assert sorted(map(tuple, users.neighbour_items(near, profile).select(keys).collect())) == [(1, 10, 0.5, 1), (1, 11, 2.0, 2), (1, 12, 0.25, 1)]
+    assert sorted(map(tuple, signals.held_share(near, profile, 2).collect())) == [(1, 10, 0.0), (1, 11, 2.0 / 0.75), (1, 12, 0.0)]
