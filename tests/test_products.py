@@ -134,3 +134,23 @@ def test_neighbours_items_without_ones_own(spark):
     assert sorted(map(tuple, users.neighbour_items(near, profile, own).select(keys).collect())) == [(1, 11, 2.0, 2), (1, 12, 0.25, 1)]
     assert sorted(map(tuple, users.neighbour_items(near, profile).select(keys).collect())) == [(1, 10, 0.5, 1), (1, 11, 2.0, 2), (1, 12, 0.25, 1)]
     assert sorted(map(tuple, signals.held_share(near, profile, 2).collect())) == [(1, 10, 0.0), (1, 11, 2.0 / 0.75), (1, 12, 0.0)]
+
+
+def test_candidate_pairs_are_item_pairs_of_the_candidates(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import candidates as cand
+
+    items = spark.createDataFrame([(i, float(i)) for i in range(6)], "item long, x double")
+    seeds = spark.createDataFrame([(1, 0, 2), (1, 1, 3), (2, 0, 5)], "request_id long, seed_pos int, item long")
+    wanted = spark.createDataFrame([(1, 0), (1, 4), (2, 1)], "request_id long, item long")
+    like = F.col("x") - F.col("s_x")
+    want = cand.item_pairs(seeds, items, like).join(wanted, ["request_id", "item"]).select("request_id", "seed_pos", "item", "value")
+    assert sorted(map(tuple, cand.candidate_pairs(wanted, seeds, items, like).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_planner_items_compares_candidates_only(spark, monkeypatch):
+    from tidemark.operators import candidates as cand
+
+    monkeypatch.setattr(cand, "item_pairs", lambda *a, **k: pytest.fail("every item meets every seed"))
+    entry.engine.QUERIES["planner_items"](spark, DIR)
