@@ -154,3 +154,22 @@ def test_planner_items_compares_candidates_only(spark, monkeypatch):
 
     monkeypatch.setattr(cand, "item_pairs", lambda *a, **k: pytest.fail("every item meets every seed"))
     entry.engine.QUERIES["planner_items"](spark, DIR)
+
+
+def test_over_seed_everywhere_is_over_seed_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.signals import over_seed, over_seed_everywhere
+
+    items = spark.createDataFrame([(i,) for i in range(5)], "item long")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "request_id long")
+    seeds = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (2, 0, 2)], "request_id long, seed_pos int, item long")
+    pairs = spark.createDataFrame([(1, 0, 3, 2.0), (1, 1, 3, 1.0), (2, 0, 4, 5.0), (2, 0, 99, 1.0)], "request_id long, seed_pos int, item long, value double")
+    want = over_seed(items.crossJoin(asked).withColumn("cand_pos", F.lit(0)), seeds, pairs, 0.5).select("request_id", "item", "raw")
+    got = over_seed_everywhere(items, asked, seeds, pairs, 0.5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sig_co_occurrence_count_joins_no_pairs_of_the_product(spark, no_small_sides, small_tasks):
+    steps = plan(entry.engine.QUERIES["sig_co_occurrence_count"](spark, DIR))
+    assert "LeftOuter" not in steps[: steps.index("BroadcastNestedLoopJoin")]
