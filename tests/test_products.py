@@ -173,3 +173,8 @@ def test_over_seed_everywhere_is_over_seed_of_all_pairs(spark):
 def test_sig_co_occurrence_count_joins_no_pairs_of_the_product(spark, no_small_sides, small_tasks):
     steps = plan(entry.engine.QUERIES["sig_co_occurrence_count"](spark, DIR))
     assert "LeftOuter" not in steps[: steps.index("BroadcastNestedLoopJoin")]
+
+
+def test_seed_combine_shuffles_no_pairs(spark, no_small_sides, small_tasks):
+    steps = plan(entry.engine.QUERIES["seed_combine"](spark, DIR))
+    assert "Exchange" not in steps[: steps.index("BroadcastNestedLoopJoin")]
