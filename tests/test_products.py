@@ -178,3 +178,36 @@ def test_sig_co_occurrence_count_joins_no_pairs_of_the_product(spark, no_small_s
 def test_seed_combine_shuffles_no_pairs(spark, no_small_sides, small_tasks):
     steps = plan(entry.engine.QUERIES["seed_combine"](spark, DIR))
     assert "Exchange" not in steps[: steps.index("BroadcastNestedLoopJoin")]
+
+
+def test_scores_in_place_are_those_of_joined_signals(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import scoring
+
+    rows = spark.createDataFrame([(r, i, i, None if (r + i) % 3 == 0 else float(i * r % 5), float(i % 4)) for r in (1, 2) for i in range(9)] + [(3, 1, 1, None, 2.0)], "request_id long, item long, cand_pos long, a double, b double")
+    made = {"a": F.col("a"), "b": -F.col("b"), "c": F.col("a") + F.col("b"), "z": F.col("a")}
+    weights, how = {"a": 0.5, "b": 0.3, "c": 0.2, "z": 0.0}, {"b": "rank", "c": "none"}
+    signals = {s: rows.select("request_id", "item", x.alias("raw")) for s, x in made.items()}
+    want = scoring.ordered(scoring.score(rows.select("request_id", "item", "cand_pos"), signals, weights, how))
+    place = scoring.score_in_place(rows, made, weights, how)
+    got = scoring.ordered(place.withColumn("parts", scoring.parts(["a", "b", "c"])))
+    keys = ["request_id", "item", "score", "rank", "parts"]
+    flat = lambda df: sorted((r["request_id"], r["item"], r["score"], r["rank"], sorted(r["parts"].items())) for r in df.select(keys).collect())
+    assert flat(got) == flat(want)
+    assert sorted(map(tuple, scoring.head(place, 2).select(keys[:4]).collect())) == sorted(map(tuple, got.where("rank <= 2").select(keys[:4]).collect()))
+    assert sorted(r["score"] for r in scoring.score_in_place(rows, made, {"b": 1.0}, how).collect()) == sorted(r["score"] for r in scoring.score(rows, signals, {"b": 1.0}, how).collect())
+
+
+#: Queries whose signals are columns of the candidate's row.
+IN_PLACE = [
+    "explain_reason",
+]
+
+
+@pytest.mark.parametrize("name", IN_PLACE)
+def test_signals_of_the_row_are_not_joined(spark, monkeypatch, name):
+    from tidemark.operators import scoring
+
+    monkeypatch.setattr(scoring, "score", lambda *a, **k: pytest.fail("candidates are joined with their signals"))
+    entry.engine.QUERIES[name](spark, DIR)
