@@ -202,6 +202,7 @@ def test_scores_in_place_are_those_of_joined_signals(spark):
 #: Queries whose signals are columns of the candidate's row.
 IN_PLACE = [
     "explain_reason",
+    "rule_diversity",
 ]
 
 
