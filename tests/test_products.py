@@ -203,6 +203,7 @@ def test_scores_in_place_are_those_of_joined_signals(spark):
 IN_PLACE = [
     "explain_reason",
     "rule_diversity",
+    "rule_boost",
 ]
 
 
