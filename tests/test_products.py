@@ -204,6 +204,7 @@ IN_PLACE = [
     "explain_reason",
     "rule_diversity",
     "rule_boost",
+    "rule_mix",
 ]
 
 
