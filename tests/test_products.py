@@ -206,6 +206,7 @@ IN_PLACE = [
     "rule_boost",
     "rule_mix",
     "rule_pin",
+    "rule_place",
 ]
 
 
