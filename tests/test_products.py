@@ -208,6 +208,7 @@ IN_PLACE = [
     "rule_pin",
     "rule_place",
     "score_sum",
+    "rule_quota",
 ]
 
 
