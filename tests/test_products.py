@@ -218,3 +218,7 @@ def test_signals_of_the_row_are_not_joined(spark, monkeypatch, name):
 
     monkeypatch.setattr(scoring, "score", lambda *a, **k: pytest.fail("candidates are joined with their signals"))
     entry.engine.QUERIES[name](spark, DIR)
+
+
+def test_norm_minmax_gathers_no_list(spark):
+    assert "Window" not in plan(entry.engine.QUERIES["norm_minmax"](spark, DIR))
