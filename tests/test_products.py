@@ -255,7 +255,7 @@ def test_places_by_ranges_are_those_of_whole_lists(spark, ranges, descending):
 
 
 #: Queries that order a whole list.
-PLACED = ["norm_rank"]
+PLACED = ["norm_rank", "rule_boost"]
 
 
 @pytest.mark.parametrize("name", PLACED)
