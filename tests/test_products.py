@@ -44,6 +44,35 @@ def test_sig_attribute_value_is_dealt_out(spark, small_tasks):
     assert entry.engine.QUERIES["sig_attribute_value"](spark, DIR).rdd.getNumPartitions() > 1
 
 
+def test_sig_attribute_value_keeps_no_item_for_all_requests(spark, small_tasks):
+    steps = plan(entry.engine.QUERIES["sig_attribute_value"](spark, DIR))
+    assert steps.index("Generate explode") < steps.index("Coalesce") < steps.index("BroadcastNestedLoopJoin")
+
+
+@pytest.mark.parametrize("piece", [1, 3, 512])
+def test_products_in_pieces_are_whole(spark, monkeypatch, small_tasks, piece):
+    from tidemark.queries import binding
+
+    monkeypatch.setattr(binding, "PIECE", piece)
+    rows = spark.createDataFrame([(1, 2.5), (2, None), (None, 1.0), (1, 2.5)], "item long, x double")
+    asked = spark.createDataFrame([(r,) for r in [*range(0, 800, 20), 0, -20]], "request_id long")
+    want = rows.crossJoin(asked).select("request_id", "item", "x")
+    key = lambda r: tuple((v is None, v) for v in r)
+    got = binding.in_pieces(rows, asked)
+    assert got.columns == want.columns
+    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+    assert binding.in_pieces(rows, asked.limit(0)).count() == 0 == binding.in_pieces(rows.limit(0), asked).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_sig_attribute_value_in_many_pieces_equals_sql(spark, duck, monkeypatch, small_tasks):
+    from tidemark.queries import binding
+
+    monkeypatch.setattr(binding, "PIECE", 3)
+    got = entry.engine.QUERIES["sig_attribute_value"](spark, DIR).toPandas()
+    assert canonical(got) == canonical(duck.sql(entry.engine.SQL["sig_attribute_value"]).df())
+
+
 def test_seed_matches_meet_by_value_and_a_seed_without_one_keeps_all(spark):
     from tidemark.operators.constraints import seed_matches
 
