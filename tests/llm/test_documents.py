@@ -92,6 +92,13 @@ def test_differing_branches_locate_edits(spark):
     assert at.p == [3, 18] and len(at.s) == 2 and not at.same
 
 
+def test_trees_are_grown_once_and_compared_once(spark):
+    docs = spark.createDataFrame([(k, f"text {k}. And more") for k in range(3)], "doc_id long, text string")
+    steps = merkle.edit_report(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("regexp_extract_all(") == 2  # the text's and the edited text's, not the next text's again
+    assert steps.count("array_except(") == steps.count("transform(array(array_except(") == 2  # not for every paragraph
+
+
 # ------------------------------------------------------------------ secrets
 
 BASE = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)

@@ -11,7 +11,7 @@ Everything here is DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: A section starts at a line that is empty or begins with ``#`` or one of A to F.
@@ -58,23 +58,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, 1.0).otherwise(2.0 * both / all_)
 
 
+def places(xs: Column, lost: Column) -> Column:
+    """Numbers from 0 of the members of ``xs`` that ``lost`` holds.  ``lost`` is bound to a
+    name first: inside the walk over ``xs`` it would be worked out for every member."""
+    held = F.transform(F.array(lost), lambda ls: F.filter(F.transform(xs, lambda x, i: F.when(F.array_contains(ls, x), i)), lambda i: i.isNotNull()))
+    return held[0]
+
+
 def changed_sections(old: Column, new: Column) -> Column:
     """Numbers from 0 of the sections of ``new`` whose digests ``old`` does not have."""
-    known = F.transform(old, lambda s: s["digest"])
-    lost = F.array_except(F.transform(new, lambda s: s["digest"]), known)
-    at = F.transform(new, lambda s, i: F.when(F.array_contains(lost, s["digest"]), i))
-    return F.filter(at, lambda i: i.isNotNull())
+    digests = lambda t: F.transform(t, lambda s: s["digest"])
+    return places(digests(new), F.array_except(digests(new), digests(old)))
 
 
 def changed_paragraphs(old: Column, new: Column) -> Column:
-    """Numbers from 0 of the paragraphs of ``new`` that ``old`` does not have, looked for
-    under differing sections only."""
-    known = F.transform(old, lambda s: s["digest"])
+    """Numbers from 0 of the paragraphs of ``new`` that ``old`` does not have; these are
+    under differing sections only, as a section's digest is that of its paragraphs'."""
     flat = lambda t: F.flatten(F.transform(t, lambda s: F.transform(s["paragraphs"], lambda p: p["digest"])))
-    differing = flat(F.filter(new, lambda s: ~F.array_contains(known, s["digest"])))
-    lost = F.array_except(differing, flat(old))
-    at = F.transform(flat(new), lambda p, i: F.when(F.array_contains(lost, p), i))
-    return F.filter(at, lambda i: i.isNotNull())
+    return places(flat(new), F.array_except(flat(new), flat(old)))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -115,9 +116,10 @@ def bucketed(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), none).otherwise(at.cast("long") * width + own))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``doc_id, text, next_text``: each row with the text of the next document by
-    descending doc_id, the first following the last.
+def in_order(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, WindowSpec]:
+    """``doc_id, text, h, at, copy`` dealt out and sorted by buckets, and the window in which
+    each row that is no ``copy`` is followed by the next document by descending doc_id, the
+    last by the first.
 
     Rows of one id, and those of null id, which come last, go by a hash of their text.
     The first row of each bucket is copied to the end of the one before, so that one window
@@ -134,19 +136,32 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("copy"))
     copied = F.struct(F.col("before").alias("at"), F.lit(True).alias("copy"))
     spread = linked.select("doc_id", "text", "h", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copied))).alias("p")).select("doc_id", "text", "h", "p.at", "p.copy")
-    follow = Window.partitionBy("at").orderBy("copy", F.desc_nulls_last("doc_id"), "h")
-    return spread.withColumn("next_text", F.lead("text").over(follow)).where(~F.col("copy")).select("doc_id", "text", "next_text")
+    order = ["copy", F.desc_nulls_last("doc_id"), "h"]
+    return spread.repartition("at").sortWithinPartitions("at", *order), Window.partitionBy("at").orderBy(*order)
+
+
+def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``doc_id, text, next_text``: each row with the text of the next document."""
+    rows, follow = in_order(docs, bucket_rows)
+    return rows.withColumn("next_text", F.lead("text").over(follow)).where(~F.col("copy")).select("doc_id", "text", "next_text")
 
 
-def edit_report(docs: DataFrame) -> DataFrame:
+def edit_report(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text (the last third
-    replaced by the beginning of the next document) and their likenesses."""
-    pairs = with_next(docs)
+    replaced by the beginning of the next document) and their likenesses.
+
+    A text's tree is grown once, after the shuffle, and its leaves are handed to the
+    document before it together with the text.
+    """
+    rows, follow = in_order(docs, bucket_rows)
+    grown = rows.select("*", tree(F.col("text")).alias("a"))
+    grown = grown.select("*", leaf_set(F.col("a")).alias("x"))
+    pairs = grown.select("*", F.lead("text").over(follow).alias("next_text"), F.lead("x").over(follow).alias("z")).where(~F.col("copy"))
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(length(text) / 3) as int))"))
-    texts = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    trees = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), leaf_set(tree(F.col("next_text"))).alias("z"))
+    texts = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "a", "x", "z", edited.alias("edited"))
+    trees = texts.select("doc_id", "n_chars", "a", "x", "z", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("edited")).alias("b"))
     a, b, x = F.col("a"), F.col("b"), F.col("x")
-    sets = trees.select("*", leaf_set(a).alias("x"), leaf_set(b).alias("y"))
+    sets = trees.select("*", leaf_set(b).alias("y"))
     return sets.select("doc_id", "n_chars", "edited_sha256", root(a).alias("fingerprint"), root(b).alias("edited_fingerprint"), likeness(x, F.col("y")).alias("near_edited"), likeness(x, F.col("z")).alias("near_next"), F.size(a).alias("n_sections"), F.size(changed_sections(a, b)).alias("n_changed_sections"), F.size(changed_paragraphs(a, b)).alias("n_changed_paragraphs"))
 
 
