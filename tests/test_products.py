@@ -211,6 +211,30 @@ def test_seed_combine_shuffles_no_pairs(spark, no_small_sides, small_tasks):
     assert "Exchange" not in steps[: steps.index("BroadcastNestedLoopJoin")]
 
 
+def test_seed_combine_makes_no_set_for_a_pair(spark):
+    steps = plan(entry.engine.QUERIES["seed_combine"](spark, DIR))
+    assert "array_union" not in steps and "array_intersect" not in steps and "bit_count" in steps
+
+
+@pytest.mark.parametrize("most", [504, 3])
+def test_jaccard_of_bits_is_that_of_the_sets(spark, monkeypatch, most):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import similarity as sim
+
+    monkeypatch.setattr(sim, "BITS", most)
+    monkeypatch.setattr(sim, "WIDE", 2)
+    rows = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["c", "d", "e"]), (2, []), (3, None), (4, ["e"]), (5, [])], "k int, words array<string>")
+    made, bits = sim.as_bits(rows, "words")
+    assert len(bits) == (3 if most == 504 else 0)
+    if bits:
+        other = made.select(*[F.col(c).alias(f"s_{c}") for c in made.columns])
+        both = made.crossJoin(other).select(sim.jaccard(F.col("words"), F.col("s_words")).alias("x"), sim.jaccard_of_bits([F.col(b) for b in bits], [F.col(f"s_{b}") for b in bits]).alias("y")).collect()
+        assert len(both) == 36 and all(r["x"] == r["y"] for r in both)
+    gap = spark.createDataFrame([(["a", None],)], "words array<string>")
+    assert sim.as_bits(gap, "words")[1] == []
+
+
 def test_scores_in_place_are_those_of_joined_signals(spark):
     from pyspark.sql import functions as F
 
