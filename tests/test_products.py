@@ -323,3 +323,27 @@ def test_no_whole_list_is_ordered_in_one_task(spark, small_tasks, name):
 def test_lists_of_many_ranges_equal_sql(spark, duck, small_tasks, name):
     got = entry.engine.QUERIES[name](spark, DIR).toPandas()
     assert canonical(got) == canonical(duck.sql(entry.engine.SQL[name]).df())
+
+
+#: Products that are written piece by piece.
+PIECED = ["sig_attribute_value", "flt_in_seed", "flt_range", "flt_when_guard", "flt_seed_ref", "sig_co_occurrence_count", "norm_minmax", "norm_none", "norm_rank", "rule_boost", "rule_pin", "score_sum"]
+
+
+@pytest.mark.parametrize("name", PIECED)
+def test_products_are_written_piece_by_piece(spark, name):
+    steps = [line for line in plan(entry.engine.QUERIES[name](spark, DIR)).splitlines() if "Sort [" in line]
+    assert any("__piece" in line for line in steps)
+
+
+@pytest.mark.parametrize("piece", [1, 2, 504])
+def test_pieces_by_value_are_whole(spark, piece):
+    from tidemark.operators.products import in_pieces
+
+    rows = spark.createDataFrame([(1, "a", [7]), (2, "b", None), (3, None, None), (4, "a", [5, 6])], "item long, k string, own array<long>")
+    asked = spark.createDataFrame([("a", r) for r in (5, 6, 7)] + [("b", 6), ("b", 6), ("c", 9), (None, 8)], "k string, request_id long")
+    got = in_pieces(rows, asked, on=("k",), own="own", piece=piece)
+    assert got.columns == ["request_id", "item", "k"]
+    assert sorted(map(tuple, got.collect())) == [(5, 1, "a"), (6, 1, "a"), (6, 2, "b"), (6, 2, "b"), (7, 4, "a")]
+    two = spark.createDataFrame([(1, None), (2, 0.5), (2, 0.5)], "shown long, x double")
+    both = in_pieces(rows.select("item"), two, piece=piece)
+    assert both.columns == ["shown", "x", "item"] and both.count() == 12 and both.where("x IS NULL").count() == 4
